@@ -6,11 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ready(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; elsewhere ship it with --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only in local mode where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, packing
+from quire.llm import bpe, chat, lsm_dedup, packing, quality, toxicity
+from quire.llm.common import ready
 
 SQL: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +29,43 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bradley-Terry quality score of every document."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def held_out(key):
+        return F.crc32(key.cast("string")) % 5 == 0
+
+    model = quality.fit_quality(documents, _table(spark, sf_dir, "labels"), held_out, level=0.3)
+    scored = quality.score_quality(documents, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact groups of all documents; the largest doc_id stays."""
+    found = lsm_dedup.exact_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep="max")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
+
+
+SQL["op5_lsm_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op6_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counterfactual-regularised toxicity score of every document."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def held_out(key):
+        return F.crc32(key.cast("string")) % 3 == 1
+
+    model = toxicity.fit_toxicity(documents, _table(spark, sf_dir, "labels"), held_out)
+    scored = toxicity.score_toxicity(documents, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix-target expansion of every conversation and of one that says the template's control strings."""
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
