@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, lsm_dedup, packing, quality, toxicity
+from quire.llm import bpe, chat, lsm_dedup, packing, partenum, quality, toxicity
 from quire.llm.common import ready
 
 SQL: dict[str, str] = {}
@@ -101,3 +101,8 @@ FROM sized GROUP BY conv_id
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document tokenised, cut where longer than a sequence, and packed."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+def op10_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return partenum.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
