@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, lsm_dedup, packing, partenum, quality, toxicity
+from quire.llm import bpe, chat, lsm_dedup, packing, partenum, quality, rindex, toxicity
 from quire.llm.common import ready
 
 SQL: dict[str, str] = {}
@@ -98,6 +98,12 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that stand elsewhere too."""
+    found = rindex.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document tokenised, cut where longer than a sequence, and packed."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
