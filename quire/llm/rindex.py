@@ -391,3 +391,21 @@ def remove_repeats(df: DataFrame, length: int = 200, text: str = "text", key: st
     met = met.withColumn("__cut", cut(F.col(text), F.col("__spans"))).withColumn("kept", F.col("__cut.kept")).withColumn("removed", F.col("__cut.removed"))
     columns = [*df.drop("kept", "removed", "n_bytes").columns, "kept", "removed"]
     return clear.select(columns).unionByName(met.select(columns)).withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
+
+
+def strip_repeats(df: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id", size: str = "n_chars") -> DataFrame:
+    """df, all rows and columns, with repeated bytes gone from the text and the text's length in size (if df has it).
+
+    A character of which only a part was covered goes whole. Texts without repeats stay as they are, nulls too.
+    """
+
+    @F.arrow_udf("string")
+    def characters(raw: pa.Array) -> pa.Array:
+        return pa.array([x.decode("utf-8", "ignore") for x in raw.to_pylist()], pa.string())
+
+    cut = remove_repeats(df, length, text, key)
+    less = F.size("removed") > 0
+    out = cut.withColumn("__text", characters(F.when(less, F.col("kept")).otherwise(F.lit(b"")))).withColumn(text, F.when(less, F.col("__text")).otherwise(F.col(text)))
+    if size in df.columns:
+        out = out.withColumn(size, F.when(less, F.length(text)).otherwise(F.col(size)).cast(df.schema[size].dataType))
+    return out.select(df.columns)
