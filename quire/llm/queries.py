@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, lsm_dedup, packing, partenum, quality, rindex, toxicity
+from quire.llm import ann, bpe, chat, lsm_dedup, packing, partenum, quality, rindex, toxicity, url_lists
 from quire.llm.common import ready
 
 SQL: dict[str, str] = {}
@@ -41,6 +41,11 @@ def op2_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest of every vector whose id is divisible by 20, among all others."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0, 20)
+
+
 def op5_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents; the largest doc_id stays."""
     found = lsm_dedup.exact_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep="max")
@@ -112,3 +117,55 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return partenum.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# A dated list for the pages' hosts (entry, action, since).
+URL_LIST = [
+    ("cheap-pills.example.com", "block", "2024-01-10"),
+    ("cheap-pills.example.com", "drop", "2024-05-01"),
+    ("cheap-pills.example.com", "block", "2024-07-15"),
+    ("spam-farm.example.org", "block", "2024-02-01"),
+    ("spam-farm.example.org/de", "allow", "2024-03-01"),
+    ("tionsh.example.net", "block", "2024-04-01"),
+    ("tionsh.example.net", "drop", "2024-06-01"),
+    ("blog.tionsh.example.net", "allow", "2024-05-01"),
+    ("ththth.example.org", "block", "2024-03-10"),
+    ("example.net", "block", "2024-11-01"),
+    ("thther.example.org/fr", "block", "2024-01-01"),
+    ("tiontion.example.com", "block", "2024-08-01"),
+    ("tiontion.example.com", "drop", "2024-08-01"),
+    ("tionble.example.com", "block", "2024-09-01"),
+    ("m.tiontion.example.com", "block", "2024-02-15"),
+]
+
+
+def op3_url_asof_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list as of its time: minute page_id * 7919 mod 527040 of 2024, as the table has no fetch times."""
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    minute = (F.col("page_id") * 7919 % 527040).cast("int")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", (start + F.make_dt_interval(mins=minute)).alias("fetched"))
+    entries = spark.createDataFrame(URL_LIST, "entry string, action string, since string").withColumn("since", F.col("since").cast("timestamp_ntz"))
+    return url_lists.judge(pages, entries)
+
+
+SQL["op3_url_asof_lists"] = rf"""
+WITH list AS (
+  SELECT entry, max(action) AS action, CAST(since AS TIMESTAMP) AS since
+  FROM (VALUES {", ".join(f"('{e}', '{a}', '{s}')" for e, a, s in URL_LIST)}) v(entry, action, since) GROUP BY entry, since
+), spans AS (
+  SELECT *, lead(since) OVER (PARTITION BY entry ORDER BY since) AS until FROM list
+), captures AS (
+  SELECT DISTINCT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 527040) AS fetched,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)', 1)) AS segment
+  FROM pages
+), hits AS (
+  SELECT c.page_id, c.url, c.fetched, max({{'n': length(s.entry), 'entry': s.entry, 'action': s.action, 'since': s.since, 'until': s.until}}) AS b
+  FROM captures c JOIN spans s
+    ON s.since <= c.fetched AND (s.until IS NULL OR c.fetched < s.until) AND s.action <> 'drop'
+    AND (c.host = s.entry OR ends_with(c.host, '.' || s.entry) OR (c.segment <> '' AND c.host || '/' || c.segment = s.entry))
+  GROUP BY ALL
+)
+SELECT c.page_id, c.url, c.fetched, coalesce(b.action = 'block', FALSE) AS blocked, b.entry AS entry, b.action AS action, b.since AS since, b.until AS until
+FROM captures c LEFT JOIN hits h ON c.page_id IS NOT DISTINCT FROM h.page_id AND c.url IS NOT DISTINCT FROM h.url
+"""
