@@ -68,7 +68,7 @@ def interpolated(known: DataFrame, count: int, first: int = FIRST_PAGE, last: in
     near = all_.select("k", "v", F.last(at, True).over(below).alias("k0"), F.last("v", True).over(below).alias("v0"), F.first(at, True).over(above).alias("k1"), F.first("v", True).over(above).alias("v1"))
     between = F.col("v0") + (F.col("k") - F.col("k0")) / (F.col("k1") - F.col("k0")) * (F.col("v1") - F.col("v0"))
     value = F.when(F.col("v").isNotNull(), F.col("v")).when(F.col("k0").isNotNull() & F.col("k1").isNotNull(), F.bround(between)).otherwise(F.coalesce("v0", "v1"))
-    return near.filter(F.col("k").between(first, last)).select(F.col("k").alias("page"), clamp(value.cast("long"), 1, count).alias("answer_page"))
+    return near.filter(F.col("k").between(first, last)).select(F.col("k").alias("page"), F.when(value.isNotNull(), clamp(value.cast("long"), 1, count)).alias("answer_page"))
 
 
 def page_map(raw: DataFrame, count: int) -> DataFrame:

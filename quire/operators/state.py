@@ -112,4 +112,4 @@ def from_payload(payload: DataFrame) -> DataFrame:
 def to_payload(state: DataFrame) -> DataFrame:
     """ST4: book, state as JSON; keys and tombstones included."""
     items = state.groupBy("book", "kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.struct("v", "t", "d").alias("e"))))).alias("items"))
-    return items.groupBy("book").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "items"))))).alias("state"))
+    return items.groupBy("book").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("kind", "items")))).alias("state"))
