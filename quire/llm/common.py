@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,20 +40,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quire_path = path
+    return table
+
+
+def again(table: DataFrame) -> DataFrame:
+    """A table that written() made, as a frame of its own, for use beside itself."""
+    return table.sparkSession.read.schema(table.schema).parquet(table._quire_path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once nothing reads them any more, and let Spark drop the shuffle files of finished jobs."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._quire_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: At most this many keys count as heavy in lookup_join, so what it broadcasts is bounded.
 HEAVY_KEYS = 2000
 
 
-def lookup_join(big: DataFrame, table: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
+def lookup_join(big: DataFrame, table: DataFrame, key: str, weight: str, how: str = "left", weighted: bool = False) -> DataFrame:
     """big joined with table, whose key is unique and whose weight column counts the rows of big with that key.
 
     A key that holds a large share of big's rows would land in one task. Those keys are at most
     HEAVY_KEYS (each holds over 1/HEAVY_KEYS of all weight), so their rows are broadcast; all other
     keys are joined by a shuffle. Both tables should be cheap to read twice.
+    weighted: the weight column stays in the result.
     """
+    if weighted:
+        table = table.withColumn("__weight", F.col(weight))
+        weight = "__weight"
     total = table.agg(F.sum(weight)).first()[0] or 0
     least = max(1000, total // HEAVY_KEYS + 1)
     columns = [c for c in table.columns if c not in (key, weight)]

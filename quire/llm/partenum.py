@@ -13,8 +13,9 @@ domain (over a fifth, so that it can tell), counted over all texts, with a Bloom
 shingles that may pass more sets but never fewer.
 
 Candidates: a signature's sets are compared with its smallest and largest member first; components of
-what links so far; then all pairs of sets that share a signature but not yet a component. So no link
-between components is lost, and a large group of near copies does not become pairs.
+what links so far; then, for each signature of several components, the members outside its largest one
+are compared with that and with each other, in blocks. So no link between components is lost, and a large
+group of near copies does not become rows of pairs.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from pyspark.sql import functions as F
 
 from quire.llm.bloom import Bloom, bloom, without
 from quire.llm.chunked import slices
-from quire.llm.common import lookup_join, written
+from quire.llm.common import again, discard, lookup_join, written
 
 WORDS = 5
 #: The share of the domain looked at for the first sieve; it must be over 1 - similarity.
 SIEVE = 0.28
 #: Pairs that one copy of a hub's set is compared with, about.
 HUB_PAIRS = 2000
+#: Sets in a block, about, when a component is compared with what stands beside it.
+BLOCK = 512
 
 _U = np.uint64
 
@@ -212,13 +215,13 @@ def signatures(body: np.ndarray, percent: int) -> np.ndarray:
 def _signed(reps: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [signatures(np.frombuffer(x, _U), percent) for x in b.column(2).to_pylist()]
+            found = [signatures(np.frombuffer(x, _U), percent) for x in b.column(1).to_pylist()]
             row = np.repeat(np.arange(len(found)), [len(x) for x in found])
             sig = np.concatenate([*found, np.zeros(0, _U)])
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["sig", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), b.column(0).take(pa.array(row))], ["sig", "id"])
 
     kind = reps.schema["id"].dataType.simpleString()
-    return reps.select("id", "n_shingles", "shingles").mapInArrow(run, f"sig long, id {kind}, n long")
+    return reps.select("id", "shingles").mapInArrow(run, f"sig long, id {kind}")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,6 +237,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         out = []
         for p, q in zip(x, y, strict=True):
             u, v = np.frombuffer(p.as_py(), _U), np.frombuffer(q.as_py(), _U)
+            if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
+                out.append(False)
+                continue
             both = np.sort(np.concatenate((u, v)))
             same = int((both[1:] == both[:-1]).sum())
             out.append(100 * same >= percent * (len(both) - same))
@@ -280,27 +286,27 @@ def near_duplicates(df: DataFrame, percent: int = 80, text: str = "text", key: s
     first = groups.select(F.col("rep").alias("id"), "digest")
     reps = written(sets.join(first, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "n_shingles", "shingles"), "reps")
     signed = written(_signed(reps, percent), "signatures")
-    buckets = written(signed.groupBy("sig").agg(F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi"), F.count("*").alias("w")).filter("w > 1"), "buckets")
-
-    def fits(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
+    buckets = written(signed.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("w")).filter("lo != hi"), "buckets")
     met = written(lookup_join(signed, buckets, "sig", "w", "inner"), "met")
-    hubs = met.select("id", "n", F.explode(F.array("lo", "hi")).alias("hub")).filter("hub.id != id").filter(fits("n", "hub.n"))
-    pairs = hubs.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(_linked(written(pairs, "pairs"), reps, percent), "links")
+    discard(signed, buckets)
+    hubs = met.select("id", F.explode(F.array("lo", "hi")).alias("hub")).filter("hub != id")
+    pairs = written(hubs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links = written(_linked(pairs, reps, percent), "links")
     found = written(components(links), "components")
 
-    # What shares a signature but not a component yet: members outside a signature's largest component against all others.
-    placed = written(met.select("sig", "id", "n").join(found, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("c")), "placed")
+    # What shares a signature but not a component yet: per signature all but its largest component, against that and each other.
+    placed = written(met.select("sig", "id").join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c")), "placed")
+    discard(met, pairs)
     parts = placed.groupBy("sig", "c").agg(F.count("*").alias("k"))
-    split = written(parts.groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("cs"), F.sum("k").alias("w")).filter("cs > 1").drop("cs"), "split")
-    rest = written(lookup_join(placed, split, "sig", "w", "inner"), "rest")
-    few = rest.filter("c != top").select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    cross = few.join(rest.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "sig")
-    more = written(cross.filter("ca != cb").filter(fits("na", "nb")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if more.head(1):
-        extra = written(_linked(more, reps, percent), "more-links")
+    mixed = parts.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("k").alias("k"), F.sum("k").alias("w")).filter("c1 != c2")
+    mixed = written(mixed.select("sig", "k", "w"), "mixed")
+    largest = lookup_join(parts.withColumnRenamed("k", "own"), mixed.drop("w"), "sig", "k", "inner", weighted=True).filter("own = k")
+    top = written(largest.groupBy("sig").agg(F.max("c").alias("top")).join(mixed.select("sig", "w"), "sig"), "top")
+    odd = lookup_join(placed, top, "sig", "w", "inner").filter("c != top").select("top", "id", "c").distinct()
+    odd = written(odd, "odd")
+    discard(placed, mixed, top)
+    if odd.head(1):
+        extra = written(_compared(odd, found, reps, percent), "more-links")
         if extra.head(1):
             found = written(components(links.unionByName(extra)), "components")
 
@@ -309,6 +315,51 @@ def near_duplicates(df: DataFrame, percent: int = 80, text: str = "text", key: s
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
+def _compared(odd: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links between odd members (top, id, c) and the members of their top component, or each other; one for each member and component.
+
+    The two sides of a top component meet in blocks of about BLOCK sets, so no task has a whole one and no
+    pair becomes a row.
+    """
+    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+    many = odd.groupBy("top").agg(F.count("*").alias("x")).join(sizes.withColumnRenamed("component", "top"), "top", "left")
+    many = written(many.select("top", (F.col("x") / BLOCK).cast("int").alias("xs"), ((F.col("x") + F.coalesce("n", F.lit(1))) / BLOCK).cast("int").alias("ys"), (F.col("x") + F.coalesce("n", F.lit(1))).alias("w")), "blocks")
+    members = found.select(F.col("component").alias("top"), "id", F.col("component").alias("c")).join(many.select("top"), "top", "left_semi")
+    alone = many.select("top").join(found.select(F.col("component").alias("top")).distinct(), "top", "left_anti").select("top", F.col("top").alias("id"), F.col("top").alias("c"))
+    all_ = written(odd.unionByName(members).unionByName(alone), "sides")
+
+    def side(df: DataFrame, own: str, other: str, name: str, far: str) -> DataFrame:
+        body = again(reps).select("id", "shingles")
+        met = lookup_join(again(df), again(many), "top", "w", "inner").withColumn(name, F.pmod(F.xxhash64("id"), F.col(own) + 1).cast("int"))
+        return met.withColumn(far, F.explode(F.sequence(F.lit(0), F.col(other)))).select("top", "xb", "yb", "id", "c").join(body, "id").groupBy("top", "xb", "yb")
+
+    def compare(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        kind = xs.schema.field("id").type if len(xs) else ys.schema.field("id").type
+        a, b = [], []
+        if len(xs) and len(ys):
+            sets = [np.frombuffer(y, _U) for y in ys["shingles"].to_pylist()]
+            flat, lengths = np.concatenate(sets), np.array([len(y) for y in sets])
+            begin = np.cumsum(lengths) - lengths
+            words, code = np.unique(flat, return_inverse=True)
+            ids, homes = ys["id"].to_pylist(), ys["c"].to_pylist()
+            for x, i, c in zip(xs["shingles"].to_pylist(), xs["id"].to_pylist(), xs["c"].to_pylist(), strict=True):
+                own = np.frombuffer(x, _U)
+                at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+                held = np.zeros(len(words), np.int32)
+                held[at[words[at] == own]] = 1
+                same = np.add.reduceat(held[code], begin)
+                seen = set()
+                for j in np.flatnonzero(100 * same >= percent * (len(own) + lengths - same)).tolist():
+                    if homes[j] != c and homes[j] not in seen:
+                        seen.add(homes[j])
+                        a.append(i)
+                        b.append(ids[j])
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+    kind = reps.schema["id"].dataType.simpleString()
+    return side(odd, "xs", "ys", "xb", "yb").cogroup(side(all_, "ys", "xs", "yb", "xb")).applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_dedup(df: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df's rows of which one of each group of near duplicates stays: the one with the smallest key; with all columns."""
     dropped = written(near_duplicates(df, percent, text, key).filter(F.col(key) != F.col("component_id")).select(key), "dropped")
