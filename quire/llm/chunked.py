@@ -13,11 +13,11 @@ SLICE_BYTES = 4 << 20
 CACHE_ENTRIES = 300_000
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """texts in runs of about SLICE_BYTES, nulls as empty strings."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """texts in runs of about so many bytes, nulls as empty strings."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     size = np.asarray(pc.binary_length(texts)).astype(np.int64)
-    group = (np.cumsum(size) - size) // SLICE_BYTES
+    group = (np.cumsum(size) - size) // most
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)] if len(texts) else []
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield texts.slice(a, b - a)

@@ -13,7 +13,7 @@ at each position how long a match elsewhere is, and those of `length` bytes or m
 
 Strings that very many texts share would give keys with large shards where they border on other text.
 Their grams (met often in a batch, and often in all) lose against any other gram, so that a window with
-any byte of other text has a key of that text. What is still larger than SHARD_BYTES is compared by
+any byte of other text has a key of that text. What is still larger than KEY_BYTES is compared by
 digests of single windows, without limit.
 """
 
@@ -29,18 +29,22 @@ from pyspark.sql import functions as F
 
 from quire.llm.bloom import Bloom, bloom
 from quire.llm.chunked import slices
-from quire.llm.common import lookup_join, written
+from quire.llm.common import discard, lookup_join, written
 from quire.llm.partenum import _mix, _stream
 
 GRAM = 40
 #: Segments are cut after so many windows.
 SEGMENT_WINDOWS = 512
-#: Bytes of segments in a shard, about; a key with more is compared by window digests.
-SHARD_BYTES = 2 << 20
+#: Bytes of segments in a shard, about: small enough for a processor's cache.
+SHARD_BYTES = 256 << 10
+#: A key with more bytes of segments is compared by window digests.
+KEY_BYTES = 2 << 20
 #: A gram is common if it is met so often in all, counted where a batch has its key COMMON_LOCAL times.
 COMMON, COMMON_LOCAL = 64, 8
-#: Windows of one text that are worked on at once.
-BLOCK = 4 << 20
+#: Bytes that are hashed at once: what a processor's cache holds with all intermediate arrays.
+BLOCK = 64 << 10
+#: Bytes of segments that a worker collects before it hands them on.
+HANDED_ON = 4 << 20
 
 _U = np.uint64
 _BYTES = _stream(21, 256)
@@ -76,7 +80,7 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
 def _blocks(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, ends of texts in them, row of each text, its offset in the row) with at most about BLOCK bytes."""
     row = 0
-    for part in slices(texts):
+    for part in slices(texts, BLOCK):
         n = len(part)
         ends = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + n + 1]
         data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
@@ -91,19 +95,21 @@ def _blocks(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarr
         row += n
 
 
-def _keys(data: np.ndarray, ends: np.ndarray, length: int, common: Bloom | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(grams, each window's key, whether the window lies in one text)."""
+def _keys(data: np.ndarray, ends: np.ndarray, length: int, common: Bloom | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None] | None:
+    """(grams, each window's key, whether the window lies in one text, whether its key is another one because of common grams)."""
     if len(data) < length:
         return None
     g = _grams(data)
+    plain = _slide(g, length - GRAM + 1, np.minimum)
+    key, other = plain, None
     if common is not None:
-        often = common.maybe(g)
-        g = g | (often.astype(_U) << _U(63))
-    key = _slide(g, length - GRAM + 1, np.minimum)
+        g = g | (common.maybe(g).astype(_U) << _U(63))
+        key = _slide(g, length - GRAM + 1, np.minimum)
+        other = (key & ~_TOP) != plain
     inside = np.ones(len(data) + 1, bool)
     for e in ends[1:]:
         inside[max(0, e - length + 1) : e] = False
-    return g, key, inside[: len(key)]
+    return g, key, inside[: len(key)], other
 
 
 def _key_counts(texts: DataFrame, length: int) -> DataFrame:
@@ -115,19 +121,23 @@ def _key_counts(texts: DataFrame, length: int) -> DataFrame:
             for data, ends, _, _ in _blocks(b.column(0), length):
                 found = _keys(data, ends, length, None)
                 if found is None:
+                    met.append((np.zeros(0, _U), np.zeros(0, np.int64)))
                     continue
-                g, key, inside = found
+                g, key, inside, _ = found
                 low = np.where(inside, key, _U(0))
                 pad = np.zeros(length - GRAM, _U)
                 chosen = _slide(np.concatenate((pad, low, pad)), length - GRAM + 1, np.maximum) == g
-                h, n = np.unique(g[chosen], return_counts=True)
-                met.append((h, n))
-                common = h[n >= COMMON_LOCAL]
-                if len(common):
+                met.append(np.unique(g[chosen], return_counts=True))
+            h, at = np.unique(np.concatenate([*(x for x, _ in met), np.zeros(0, _U)]), return_inverse=True)
+            common = h[np.bincount(at, np.concatenate([*(x for _, x in met), np.zeros(0, np.int64)]), len(h)) >= COMMON_LOCAL]
+            for (data, ends, _, _), (own, _) in zip(_blocks(b.column(0), length) if len(common) else (), met, strict=False):
+                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                if (common[at] == own).any():
+                    g, key, inside, _ = _keys(data, ends, length, None)
                     at = np.minimum(np.searchsorted(common, key), len(common) - 1)
-                    hot = inside & (common[at] == key)
-                    near = np.concatenate((hot, np.zeros(length - GRAM, bool))).astype(np.int32)
-                    cover = np.cumsum(near) - np.concatenate((np.zeros(length - GRAM + 1, np.int32), np.cumsum(near)[: -(length - GRAM + 1)]))
+                    near = np.concatenate((inside & (common[at] == key), np.zeros(length - GRAM, bool)))
+                    cover = np.cumsum(near)
+                    cover = cover - np.concatenate((np.zeros(length - GRAM + 1, np.int64), cover[: -(length - GRAM + 1)]))
                     held.append(np.unique(g[cover > 0], return_counts=True))
             for kind, parts in ((False, met), (True, held)):
                 h = np.concatenate([*(x for x, _ in parts), np.zeros(0, _U)])
@@ -141,30 +151,44 @@ def _key_counts(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, n long, gram boolean")
 
 
-def _segments(docs: DataFrame, length: int, repeated: Bloom, common: Bloom | None) -> DataFrame:
-    """id, fp, start, h, digest, body of each segment whose key may be met again; alone: its key is met once in it."""
+def _segments(docs: DataFrame, length: int, repeated: Bloom, common: Bloom | None, wanted: Bloom | None = None) -> DataFrame:
+    """id, fp, start, h, digest, d (eight bytes of it), size, twice of each segment whose key may be met again; twice: its key stands in it more than once.
+
+    With wanted, a filter of d, only those that it lets through, and with their body.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, starts_, keys, bodies, twices, size = [], [], [], [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                at = pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]))
+                digests = [hashlib.blake2b(x, digest_size=16).digest() for x in bodies]
+                d = np.frombuffer(b"".join(digests), np.int64)[::2]
+                names = ["id", "fp", "start", "h", "digest", "d", "size", "twice", "body"]
+                out = pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([*starts_, np.zeros(0, np.int64)])), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(digests, pa.binary()), pa.array(d), pa.array([len(x) for x in bodies], pa.int32()), pa.array(twices, pa.bool_()), pa.array(bodies, pa.binary())],
+                    names,
+                )
+                return out.select(names[:-1]) if wanted is None else out.filter(pa.array(wanted.maybe(np.ascontiguousarray(d))))
+
             for data, ends, row, offset in _blocks(b.column(2), length):
                 found = _keys(data, ends, length, common)
                 if found is None:
                     continue
-                g, key, inside = found
+                g, key, inside, other = found
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (inside[1:] != inside[:-1])
                 new[ends[(ends > 0) & (ends < len(key))]] = True
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(key))
                 ok = inside[first]
-                # Keys of texts next to common ones were not counted; let them pass.
-                wide = np.zeros(len(key) + 1, np.int64)
-                if common is not None:
-                    np.cumsum((g[: len(key)] & _TOP) != 0, out=wide[1:])
-                    near = wide[np.minimum(last + length, len(key))] > wide[np.maximum(first - length, 0)]
-                else:
-                    near = np.zeros(len(first), bool)
-                ok &= near | repeated.maybe(key[first] & ~_TOP)
+                passed = repeated.maybe(key[first] & ~_TOP)
+                if other is not None:
+                    # Such keys were not counted; let them pass.
+                    upto = np.concatenate(([0], np.cumsum(other)))
+                    passed |= upto[last] > upto[first]
+                ok &= passed
                 starts, stops = first[ok], last[ok]
                 pieces = -(-(stops - starts) // SEGMENT_WINDOWS)
                 at = np.repeat(np.arange(len(starts)), pieces)
@@ -172,17 +196,22 @@ def _segments(docs: DataFrame, length: int, repeated: Bloom, common: Bloom | Non
                 a = starts[at] + step * SEGMENT_WINDOWS
                 z = np.minimum(a + SEGMENT_WINDOWS, stops[at])
                 raw = data.tobytes()
-                body = [raw[i : j + length - 1] for i, j in zip(a.tolist(), z.tolist(), strict=True)]
+                own = [raw[i : j + length - 1] for i, j in zip(a.tolist(), z.tolist(), strict=True)]
                 doc = np.searchsorted(ends, a, "right") - 1
+                rows.append(row[doc])
+                starts_.append(a - ends[doc] + offset[doc])
+                keys.append(key[a].view(np.int64))
+                bodies += own
                 # A window can repeat inside a segment only where the key stands in it twice.
-                twice = [bool((g[i : j + length - GRAM] == key[i]).sum() > 1) for i, j in zip(a.tolist(), z.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row[doc])), b.column(1).take(pa.array(row[doc])), pa.array(a - ends[doc] + offset[doc]), pa.array(key[a].view(np.int64)), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in body], pa.binary()), pa.array(body, pa.binary()), pa.array(twice, pa.bool_())],
-                    ["id", "fp", "start", "h", "digest", "body", "twice"],
-                )
+                twices += [bool((g[i : j + length - GRAM] == key[i]).sum() > 1) for i, j in zip(a.tolist(), z.tolist(), strict=True)]
+                size += sum(map(len, own))
+                if size >= HANDED_ON:
+                    yield flush()
+                    rows, starts_, keys, bodies, twices, size = [], [], [], [], [], 0
+            yield flush()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "fp", "text").mapInArrow(run, f"id {kind}, fp long, start long, h long, digest binary, body binary, twice boolean")
+    return docs.select("id", "fp", "text").mapInArrow(run, f"id {kind}, fp long, start long, h long, digest binary, d long, size int, twice boolean" + ", body binary" * (wanted is not None))
 
 
 class RunLengthIndex:
@@ -216,9 +245,13 @@ class RunLengthIndex:
             part = np.where(open_, s[i : i + n], _U(0))
             key = key << _U(9) | part
             open_ &= part != 0
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
-        # Suffixes that reach a separator within the key are decided by its place, as the stable order has them.
+        # Suffixes that reach a separator within the key stand in the order of their places.
+        short = np.flatnonzero(~open_[order])
+        own = order[short]
+        order[short] = own[np.lexsort((own, key[own]))]
+        # Suffixes that reach a separator within the key are decided by its place, as they stand now.
         new = np.ones(n, bool)
         new[1:] = (sorted_key[1:] != sorted_key[:-1]) | ~open_[order][1:]
         rank = np.empty(n, np.int64)
@@ -234,7 +267,7 @@ class RunLengthIndex:
             base = rank[own]
             nxt = own + size
             second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], 0)
-            again = np.lexsort((second, base))
+            again = np.argsort(base.astype(_U) << _U(32) | second.astype(_U))
             order[at] = own[again]
             base, second = base[again], second[again]
             new[at] = True
@@ -269,12 +302,12 @@ class RunLengthIndex:
     def matching_statistics(self) -> np.ndarray:
         """At each position, the length of the longest match that starts anywhere else."""
         best = np.zeros(self.n, np.int64)
-        at = np.arange(self.n)
         for places, shared in (self.above, self.below):
-            near = np.searchsorted(places, at, "right") - 1
-            ok = near >= 0
-            near = np.maximum(near, 0)
-            np.maximum(best, np.where(ok, shared[near] - (at - places[near]), 0), out=best)
+            # From a sample on, length + place stays the same; before the first one there is no match.
+            reach = np.zeros(self.n, np.int64)
+            ends = shared + places
+            reach[places] = np.diff(ends, prepend=0)
+            np.maximum(best, np.cumsum(reach) - np.arange(self.n), out=best)
         return best
 
 
@@ -319,7 +352,7 @@ def _by_digest(big: DataFrame, length: int) -> DataFrame:
 def repeated_spans(df: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id") -> DataFrame:
     """id, fp (xxhash64 of the text), spans: per text with any, the byte ranges covered by strings of `length` bytes that also start elsewhere.
 
-    spans is a flat, unsorted array of [from, to) pairs, which may overlap. df is read twice.
+    spans is a flat, unsorted array of [from, to) pairs, which may overlap. df is read three times.
     """
     docs = df.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text")).filter(F.octet_length("text") >= length)
     counts = _key_counts(docs.select("text"), length).repartition("h").groupBy("h", "gram").agg(F.sum("n").alias("n"))
@@ -328,21 +361,25 @@ def repeated_spans(df: DataFrame, length: int = 200, text: str = "text", key: st
     n_grams = grams.count()
     repeated, common = bloom(keys, "h", keys.count()), bloom(grams, "h", n_grams) if n_grams else None
     segments = written(_segments(docs, length, repeated, common), "segments")
-    distinct = segments.groupBy("h", "digest", "body", "twice").agg(F.count("*").alias("w"))
-    distinct = written(distinct, "distinct")
+    discard(counts)
+    distinct = written(segments.groupBy("h", "digest", "d", "size", "twice").agg(F.count("*").alias("w")), "distinct")
     # Only keys with a segment of which nothing is known yet need an index.
-    per = distinct.groupBy("h").agg(F.sum(F.length("body")).alias("bytes"), F.count("*").alias("k"), F.sum(F.when(F.col("w") == 1, 1).otherwise(0)).alias("single"), F.max("twice").alias("inner_"))
+    per = distinct.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("k"), F.sum(F.when(F.col("w") == 1, 1).otherwise(0)).alias("single"), F.max("twice").alias("inner_"))
     per = written(per.filter("single > 0 and (k > 1 or inner_)").select("h", "bytes", "k"), "to-index")
-    total = per.filter(F.col("bytes") <= SHARD_BYTES).agg(F.sum("bytes")).first()[0] or 0
+    total = per.filter(F.col("bytes") <= KEY_BYTES).agg(F.sum("bytes")).first()[0] or 0
     shards = total // SHARD_BYTES + 1
-    todo = lookup_join(distinct.select("h", "digest", "body", "w"), per, "h", "k", "inner")
-    small = todo.filter(F.col("bytes") <= SHARD_BYTES).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    todo = written(lookup_join(distinct.select("h", "digest", "d"), per, "h", "k", "inner"), "to-read")
+    # Their texts are read again: a third pass, instead of keeping the texts of all segments.
+    texts = _segments(docs, length, repeated, common, bloom(todo, "d", todo.count())).groupBy("h", "digest", "body").agg(F.count("*").alias("w"))
+    texts = written(lookup_join(written(texts, "texts"), per, "h", "k", "inner"), "texts-to-index")
+    small = texts.filter(F.col("bytes") <= KEY_BYTES).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     found = small.select("shard", "digest", "body").groupBy("shard").applyInArrow(lambda t: _by_index(t, length), "digest binary, hits array<int>")
-    if per.filter(F.col("bytes") > SHARD_BYTES).head(1):
-        found = found.unionByName(_by_digest(todo.filter(F.col("bytes") > SHARD_BYTES), length))
+    if per.filter(F.col("bytes") > KEY_BYTES).head(1):
+        found = found.unionByName(_by_digest(texts.filter(F.col("bytes") > KEY_BYTES), length))
     single = distinct.filter("w = 1").select("digest", "w")
     found = written(found, "hits")
-    all_of = distinct.filter("w > 1").select("digest", F.array(F.lit(0), (F.length("body") - length + 1).cast("int")).alias("hits"), "w")
+    discard(texts, todo, per)
+    all_of = distinct.filter("w > 1").select("digest", F.array(F.lit(0), (F.col("size") - length + 1).cast("int")).alias("hits"), "w")
     hits = written(all_of.unionByName(single.join(found, "digest").select("digest", "hits", "w")), "marked")
     here = lookup_join(segments.select("id", "fp", "start", "digest"), hits, "digest", "w", "inner")
     pairs = F.transform(F.col("hits"), lambda x, i: F.col("start") + x + F.when(i % 2 == 1, F.lit(length - 1)).otherwise(F.lit(0)))
@@ -364,7 +401,7 @@ def remove_repeats(df: DataFrame, length: int = 200, text: str = "text", key: st
 
     Removed is each byte covered by a string of `length` bytes that also starts elsewhere in any text,
     the same one included. Null texts count as empty; shorter texts stay whole; a repeated row is a text
-    of its own. Keys must not be null. An empty table gives no rows. df is read four times.
+    of its own. Keys must not be null. An empty table gives no rows. df is read five times.
     """
     spans = written(repeated_spans(df, length, text, key), "spans")
     body = F.coalesce(F.col(text), F.lit(""))

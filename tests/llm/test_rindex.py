@@ -59,7 +59,7 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("limits", [{}, {"SHARD_BYTES": 3000, "BLOCK": 900, "SEGMENT_WINDOWS": 50}])
+@pytest.mark.parametrize("limits", [{}, {"SHARD_BYTES": 3000, "KEY_BYTES": 3000, "BLOCK": 900, "SEGMENT_WINDOWS": 50}])
 def test_like_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(rindex, k, v)
