@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,9 +19,9 @@ from quire.llm.common import written
 #: Rows that one packing task sorts and packs, about. What is lost is a few part-filled sequences for each of so many rows.
 PACK_ROWS = 32_000
 
-# Chunks of ASCII and the letters of Latin-1: lower-casing and normal form are plain there.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+# Chunks of printable ASCII, white space and the letters of Latin-1: lower-casing and normal form are plain there.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ\s]+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -43,7 +44,7 @@ class WordTokenizer:
 
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join(self.byte[b] for b in word.encode())
-        return np.array([t.id for t in self.model.tokenize(shown)], np.int32).tobytes()
+        return array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk):
