@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; with the cache, it bounds a worker's memory. A longer text is one slice.
 SLICE_BYTES = 4 << 20
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
