@@ -167,7 +167,7 @@ def fit_features(rows: list[np.ndarray], y: np.ndarray, swapped: list[tuple[int,
     return ToxicityModel(slots[used], w[used], bias)
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, held_out, label: str = "toxic", key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, fairness: float = 10.0, sparsity: float = 1e-3) -> ToxicityModel:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, held_out, label: str = "toxic", key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, fairness: float = 10.0, sparsity: float = 3e-4) -> ToxicityModel:
     """Fit on at most fit_rows labelled rows for which the condition held_out(key column) does not hold.
 
     Rows with a null label take no part; of a repeated label row each counts. Only hashed features reach the driver.
