@@ -53,7 +53,10 @@ def chunk_features(chunk: str) -> list[int]:
 
 
 def present(texts: pa.Array, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(row, slot) of each feature that a text holds, once, and the number of texts; by slices. keep: slots to look at."""
+    """(row, code) of each feature that a text holds, once, and the number of texts; by slices. keep: slots to look at.
+
+    A code is the slot + SLOTS * (how often the text holds it - 1).
+    """
 
     def encode(chunk: str) -> bytes:
         slots = chunk_features(chunk)
@@ -63,8 +66,13 @@ def present(texts: pa.Array, keep: np.ndarray | None = None) -> Iterator[tuple[n
     for part in slices(texts):
         upto, slots = encode_slice(part, cache)
         row = np.repeat(np.arange(len(part)), np.diff(upto))
-        pair = np.unique(row * SLOTS + slots)
-        yield pair // SLOTS, pair % SLOTS, len(part)
+        pair, times = np.unique(row * SLOTS + slots, return_counts=True)
+        yield pair // SLOTS, pair % SLOTS + SLOTS * (times - 1), len(part)
+
+
+def _value(code: np.ndarray) -> np.ndarray:
+    """What a feature counts by: 1 if met once, less for each time more."""
+    return np.log2(2 + code // SLOTS)
 
 
 def swaps(text: str) -> list[str]:
@@ -92,21 +100,21 @@ class ToxicityModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         keep, w = np.zeros(SLOTS, bool), np.zeros(SLOTS)
         keep[self.slots], w[self.slots] = True, self.weights
-        out = [np.bincount(row, w[slot], n) + self.bias for row, slot, n in present(texts, keep)]
+        out = [np.bincount(row, w[code % SLOTS] * _value(code), n) + self.bias for row, code, n in present(texts, keep)]
         return 1 / (1 + np.exp(-np.concatenate(out).clip(-500, 500))) if out else np.zeros(0)
 
 
 class _Rows:
-    """A 0/1 matrix by (row, column) of its ones."""
+    """A matrix by (row, column, value) of what is not 0."""
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, shape: tuple[int, int]):
-        self.row, self.col, self.shape = row, col, shape
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.col, self.value, self.shape = row, col, value, shape
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col], self.shape[0])
+        return np.bincount(self.row, w[self.col] * self.value, self.shape[0])
 
     def t_dot(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, r[self.row], self.shape[1])
+        return np.bincount(self.col, r[self.row] * self.value, self.shape[1])
 
 
 def fit_logistic(x: _Rows, y: np.ndarray, a: _Rows, b: _Rows, fairness: float, sparsity: float, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -146,25 +154,30 @@ def fit_logistic(x: _Rows, y: np.ndarray, a: _Rows, b: _Rows, fairness: float, s
 
 
 def fit_features(rows: list[np.ndarray], y: np.ndarray, swapped: list[tuple[int, np.ndarray]], fairness: float, sparsity: float) -> ToxicityModel:
-    """rows: slots present in each labelled text; swapped: (its row, slots present after a swap)."""
+    """rows: codes (see present) of each labelled text; swapped: (its row, codes after a swap)."""
     if not (y == 1).any() or not (y == 0).any():
         return ToxicityModel(np.zeros(0, int), np.zeros(0), 10.0 if (y == 1).any() else -10.0)
-    row, slot = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, int)]).astype(int)
+    row, code = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, int)]).astype(int)
+    slot = code % SLOTS
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     c1, c0 = (np.bincount(slot[y[row] == v], minlength=SLOTS) for v in (1, 0))
     lift = np.abs((c1 + 0.5) / (n1 + 1) - (c0 + 0.5) / (n0 + 1)) / np.sqrt((c1 + c0 + 1.0) / len(y))
     lift[c1 + c0 < 3] = 0
     slots = np.sort(np.argsort(-lift, kind="stable")[:KEPT])
+    # Values are scaled to a mean square of 1 where a feature is held, so a word of all texts does not slow the fit down.
+    scale = np.sqrt(np.bincount(slot, _value(code) ** 2, SLOTS) / np.maximum(1, c1 + c0))
+    scale[scale == 0] = 1
     at = np.full(SLOTS, -1)
     at[slots] = np.arange(len(slots))
 
     def matrix(parts: list[np.ndarray]) -> _Rows:
-        r, c = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), at[np.concatenate([*parts, np.zeros(0, int)]).astype(int)]
-        return _Rows(r[c >= 0], c[c >= 0], (len(parts), len(slots)))
+        code = np.concatenate([*parts, np.zeros(0, int)]).astype(int)
+        r, c = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), at[code % SLOTS]
+        return _Rows(r[c >= 0], c[c >= 0], (_value(code) / scale[code % SLOTS])[c >= 0], (len(parts), len(slots)))
 
     w, bias = fit_logistic(matrix(rows), y, matrix([rows[i] for i, _ in swapped]), matrix([s for _, s in swapped]), fairness, sparsity)
     used = w != 0
-    return ToxicityModel(slots[used], w[used], bias)
+    return ToxicityModel(slots[used], (w / scale[slots])[used], bias)
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, held_out, label: str = "toxic", key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, fairness: float = 10.0, sparsity: float = 3e-4) -> ToxicityModel:
@@ -176,24 +189,24 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, held_out, label: str =
     some = known.orderBy(F.xxhash64("__k"), "__k", "__y").limit(fit_rows)
     rows = documents.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(some), "__k").select("__k", "__y", "__t")
 
-    def slots_of(texts: list[str]) -> list[np.ndarray]:
+    def codes_of(texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for row, slot, n in present(pa.array(texts, pa.string())):
+        for row, code, n in present(pa.array(texts, pa.string())):
             cuts = np.searchsorted(row, np.arange(n + 1))
-            out += [slot[i:j].astype(np.int32) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            out += [code[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column("__t").to_pylist()]
             other = [swaps(t) for t in texts]
-            flat = iter(slots_of([s for o in other for s in o]))
+            flat = iter(codes_of([s for o in other for s in o]))
             after = [[next(flat) for _ in o] for o in other]
-            lists = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("__k"), b.column("__y"), pa.array(slots_of(texts), lists), pa.array(after, pa.list_(lists))], ["__k", "__y", "x", "swapped"])
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("__k"), b.column("__y"), pa.array(codes_of(texts), lists), pa.array(after, pa.list_(lists))], ["__k", "__y", "x", "swapped"])
 
     kind = documents.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(run, f"__k {kind}, __y int, x array<int>, swapped array<array<int>>").toArrow().sort_by([("__k", "ascending"), ("__y", "ascending")])
+    got = rows.mapInArrow(run, f"__k {kind}, __y int, x array<long>, swapped array<array<long>>").toArrow().sort_by([("__k", "ascending"), ("__y", "ascending")])
     x = [r.values.to_numpy() for r in got["x"]]
     swapped = [(i, np.array(s, int)) for i, r in enumerate(got["swapped"]) if len(r) for s in r.as_py()]
     return fit_features(x, np.asarray(got["__y"]), swapped, fairness, sparsity)

@@ -46,6 +46,19 @@ def test_toxicity_held_out(spark):
     assert clean > 0.99 and toxic > 0.8
 
 
+def test_toxicity_held_out_finds_what_was_asked_for(spark):
+    clean, toxic = held_out_accuracy(spark, queries.op6_toxicity_counterfactual, "toxic")
+    assert clean > 0.99 and toxic > 0.93
+
+
+def test_toxicity_counts_occurrences():
+    # Texts of both labels hold the word, toxic ones more often; a tenth of the clean ones are without it.
+    texts = [("mild " if i % 20 == 0 else "vile " * (4 if i % 2 else 1) + "mild", i % 2) for i in range(200)]
+    codes = [code for t, _ in texts for _, code, _ in toxicity.present(pa.array([t]))]
+    model = toxicity.fit_features(codes, np.array([y for _, y in texts]), [], 10.0, 3e-4)
+    assert (model.scores(pa.array(["vile vile vile vile mild", "vile mild", "mild"])) > 0.7).tolist() == [True, False, False]
+
+
 def test_pairs_order_texts():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 4))
