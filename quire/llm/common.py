@@ -60,6 +60,14 @@ def discard(*tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def numbered(df: DataFrame, key: str, text: str, nulls_first: bool = False) -> DataFrame | None:
+    """df, written out with a number of its own for each row (__row, long, in the order of the keys); None if keys are unique and not null."""
+    if not df.groupBy(key).agg(F.count("*").alias("__n")).filter((F.col("__n") > 1) | F.col(key).isNull()).head(1):
+        return None
+    by = F.col(key).asc_nulls_first() if nulls_first else F.col(key).asc_nulls_last()
+    return written(df.orderBy(by, F.xxhash64(text)).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 #: At most this many keys count as heavy in lookup_join, so what it broadcasts is bounded.
 HEAVY_KEYS = 2000
 

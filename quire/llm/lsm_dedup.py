@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bloom import bloom, without
-from quire.llm.common import lookup_join, written
+from quire.llm.common import lookup_join, numbered, written
 
 MEMTABLE_ROWS = 200_000
 
@@ -103,6 +103,9 @@ def exact_groups(df: DataFrame, keep: str = "min", text: str = "text", key: str
 
 
 def exact_dedup(df: DataFrame, keep: str = "min", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """df's rows that stay, with all columns; see exact_groups. Keys must not be null."""
+    """df's rows that stay, with all columns: of each text one row, that of the key to keep; a null key only where its group has no other."""
+    rows = numbered(df, key, text, nulls_first=keep == "max")
+    if rows is not None:
+        return exact_dedup(rows, keep, text, "__row").drop("__row")
     dropped = written(exact_groups(df, keep, text, key).filter("not kept").select(key), "dropped")
     return without(df, dropped, key)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.bloom import Bloom, bloom, without
 from quire.llm.chunked import slices
-from quire.llm.common import again, discard, lookup_join, written
+from quire.llm.common import again, discard, lookup_join, numbered, written
 
 WORDS = 5
 #: The share of the domain looked at for the first sieve; it must be over 1 - similarity.
@@ -361,6 +361,12 @@ def _compared(odd: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -
 
 
 def near_dedup(df: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """df's rows of which one of each group of near duplicates stays: the one with the smallest key; with all columns."""
+    """df's rows of which one of each group of near duplicates stays: the one with the smallest key (null last); with all columns.
+
+    Rows that share a key, or have none, are texts of their own.
+    """
+    rows = numbered(df, key, text)
+    if rows is not None:
+        return near_dedup(rows, percent, text, "__row").drop("__row")
     dropped = written(near_duplicates(df, percent, text, key).filter(F.col(key) != F.col("component_id")).select(key), "dropped")
     return without(df, dropped, key)

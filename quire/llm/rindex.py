@@ -401,7 +401,7 @@ def remove_repeats(df: DataFrame, length: int = 200, text: str = "text", key: st
 
     Removed is each byte covered by a string of `length` bytes that also starts elsewhere in any text,
     the same one included. Null texts count as empty; shorter texts stay whole; a repeated row is a text
-    of its own. Keys must not be null. An empty table gives no rows. df is read five times.
+    of its own. Keys may repeat or be null. An empty table gives no rows. df is read five times.
     """
     spans = written(repeated_spans(df, length, text, key), "spans")
     body = F.coalesce(F.col(text), F.lit(""))
@@ -424,7 +424,7 @@ def remove_repeats(df: DataFrame, length: int = 200, text: str = "text", key: st
             out.append({"kept": b"".join([*kept, raw[at:]]), "removed": [{"from": a, "to": b} for a, b in runs]})
         return pa.array(out, pa.struct([("kept", pa.binary()), ("removed", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))]))
 
-    met = source.filter("__maybe").join(spans.withColumnsRenamed({"id": "__id", "fp": "__fp", "spans": "__spans"}), ["__id", "__fp"], "left")
+    met = source.filter("__maybe").join(spans.withColumnsRenamed({"id": "__of", "fp": "__print", "spans": "__spans"}), F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__fp") == F.col("__print")), "left")
     met = met.withColumn("__cut", cut(F.col(text), F.col("__spans"))).withColumn("kept", F.col("__cut.kept")).withColumn("removed", F.col("__cut.removed"))
     columns = [*df.drop("kept", "removed", "n_bytes").columns, "kept", "removed"]
     return clear.select(columns).unionByName(met.select(columns)).withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"))

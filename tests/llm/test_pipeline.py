@@ -49,3 +49,27 @@ def test_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             state = written(stage(spark, state, "/root/testdata/sf0.001"), "odd")
         assert (state.count() > 0) == (docs is odd)
+
+
+def test_repeated_and_null_ids(spark):
+    words = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    near, passage = words("near"), words("passage")
+    rows = [(1, words("same")), (1, words("same")), (2, words("same")), (7, words("other")), (7, words("another")), (8, words("other")), (None, words("nil")), (None, words("nil")), (None, words("same"))]
+    rows += [(3, near), (4, near + " tail"), (4, words("own")), (None, near + " end"), (None, "x " + passage), (9, words("z", 200) + " " + passage)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    order = lambda found: sorted((r.doc_id or 0, r.text) for r in found)
+
+    exact = written(corpus_pipeline.drop_copies(spark, docs, ""), "ids")
+    gone = [(1, words("same")), (1, words("same")), (7, words("other")), (None, words("nil")), (None, words("same"))]
+    left = list(rows)
+    for r in gone:
+        left.remove(r)
+    assert exact.columns == docs.columns and order(exact.collect()) == sorted((d or 0, t) for d, t in left)
+
+    close = written(corpus_pipeline.drop_near_copies(spark, exact, ""), "ids")
+    left = [r for r in left if r not in ((4, near + " tail"), (None, near + " end"))]
+    assert close.columns == docs.columns and order(close.collect()) == sorted((d or 0, t) for d, t in left)
+
+    cut = corpus_pipeline.strip_passages(spark, close, "").collect()
+    want = [(d or 0, t.replace(" " + passage, "") if passage in t else t) for d, t in left]
+    assert order(cut) == sorted(want)
