@@ -55,7 +55,7 @@ def chunk_features(chunk: str) -> list[int]:
 def present(texts: pa.Array, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(row, code) of each feature that a text holds, once, and the number of texts; by slices. keep: slots to look at.
 
-    A code is the slot + SLOTS * (how often the text holds it - 1).
+    A code (int) is the slot + SLOTS * (256 * log2(1 + how often the text holds it) - 256), the latter rounded; a bare slot is met once.
     """
 
     def encode(chunk: str) -> bytes:
@@ -67,12 +67,13 @@ def present(texts: pa.Array, keep: np.ndarray | None = None) -> Iterator[tuple[n
         upto, slots = encode_slice(part, cache)
         row = np.repeat(np.arange(len(part)), np.diff(upto))
         pair, times = np.unique(row * SLOTS + slots, return_counts=True)
-        yield pair // SLOTS, pair % SLOTS + SLOTS * (times - 1), len(part)
+        level = np.rint(256 * np.log2(1 + times)).astype(np.int64) - 256
+        yield pair // SLOTS, (pair % SLOTS + SLOTS * level).astype(np.int32), len(part)
 
 
 def _value(code: np.ndarray) -> np.ndarray:
     """What a feature counts by: 1 if met once, less for each time more."""
-    return np.log2(2 + code // SLOTS)
+    return 1 + (code // SLOTS) / 256
 
 
 def swaps(text: str) -> list[str]:
@@ -157,27 +158,34 @@ def fit_features(rows: list[np.ndarray], y: np.ndarray, swapped: list[tuple[int,
     """rows: codes (see present) of each labelled text; swapped: (its row, codes after a swap)."""
     if not (y == 1).any() or not (y == 0).any():
         return ToxicityModel(np.zeros(0, int), np.zeros(0), 10.0 if (y == 1).any() else -10.0)
-    row, code = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, int)]).astype(int)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    code = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32, copy=False)
     slot = code % SLOTS
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     c1, c0 = (np.bincount(slot[y[row] == v], minlength=SLOTS) for v in (1, 0))
     lift = np.abs((c1 + 0.5) / (n1 + 1) - (c0 + 0.5) / (n0 + 1)) / np.sqrt((c1 + c0 + 1.0) / len(y))
     lift[c1 + c0 < 3] = 0
     slots = np.sort(np.argsort(-lift, kind="stable")[:KEPT])
+    at = np.full(SLOTS, -1, np.int32)
+    at[slots] = np.arange(len(slots))
     # Values are scaled to a mean square of 1 where a feature is held, so a word of all texts does not slow the fit down.
-    scale = np.sqrt(np.bincount(slot, _value(code) ** 2, SLOTS) / np.maximum(1, c1 + c0))
+    kept = at[slot]
+    kept, value = kept[kept >= 0], _value(code[kept >= 0])
+    scale = np.sqrt(np.bincount(kept, value**2, len(slots)) / np.maximum(1, np.bincount(kept, minlength=len(slots))))
     scale[scale == 0] = 1
-    at = np.full(SLOTS, -1)
-    at[slots] = np.arange(len(slots))
+    del row, code, slot, kept, value
 
     def matrix(parts: list[np.ndarray]) -> _Rows:
-        code = np.concatenate([*parts, np.zeros(0, int)]).astype(int)
-        r, c = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), at[code % SLOTS]
-        return _Rows(r[c >= 0], c[c >= 0], (_value(code) / scale[code % SLOTS])[c >= 0], (len(parts), len(slots)))
+        r = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+        code = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32, copy=False)
+        c = at[code % SLOTS]
+        held = c >= 0
+        r, c, code = r[held], c[held], code[held]
+        return _Rows(r, c, _value(code) / scale[c], (len(parts), len(slots)))
 
     w, bias = fit_logistic(matrix(rows), y, matrix([rows[i] for i, _ in swapped]), matrix([s for _, s in swapped]), fairness, sparsity)
     used = w != 0
-    return ToxicityModel(slots[used], (w / scale[slots])[used], bias)
+    return ToxicityModel(slots[used], (w / scale)[used], bias)
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, held_out, label: str = "toxic", key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, fairness: float = 10.0, sparsity: float = 3e-4) -> ToxicityModel:
@@ -202,13 +210,13 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, held_out, label: str =
             other = [swaps(t) for t in texts]
             flat = iter(codes_of([s for o in other for s in o]))
             after = [[next(flat) for _ in o] for o in other]
-            lists = pa.list_(pa.int64())
+            lists = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("__k"), b.column("__y"), pa.array(codes_of(texts), lists), pa.array(after, pa.list_(lists))], ["__k", "__y", "x", "swapped"])
 
     kind = documents.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(run, f"__k {kind}, __y int, x array<long>, swapped array<array<long>>").toArrow().sort_by([("__k", "ascending"), ("__y", "ascending")])
+    got = rows.mapInArrow(run, f"__k {kind}, __y int, x array<int>, swapped array<array<int>>").toArrow().sort_by([("__k", "ascending"), ("__y", "ascending")])
     x = [r.values.to_numpy() for r in got["x"]]
-    swapped = [(i, np.array(s, int)) for i, r in enumerate(got["swapped"]) if len(r) for s in r.as_py()]
+    swapped = [(i, np.array(s, np.int32)) for i, r in enumerate(got["swapped"]) if len(r) for s in r.as_py()]
     return fit_features(x, np.asarray(got["__y"]), swapped, fairness, sparsity)
 
 
