@@ -7,7 +7,8 @@ further ones, unless those lie on the same side. Centroids are searched by a nei
 memory. A query looks at the lists whose centroid is at most (1 + slack) times as far as the nearest one;
 slack is the least with which queries from the sample find RECALL of their neighbours in it.
 
-Equal vectors are searched once. Long lists, and lists that many queries look at, are dealt out in blocks.
+Equal vectors are searched once. Lists of neighbouring centroids are searched together, in blocks, each of
+which hands on its k + 1 nearest of a query only; long lists, and blocks that many queries look at, are dealt out.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ SAMPLE_COORDINATES = 20_000 * 64
 RECALL = 0.97
 #: Lists that a boundary vector is in at most, and how much farther their centroids may be.
 REPLICAS, BOUNDARY = 4, 0.15
-#: Vectors, and queries, in a block of a list.
-BLOCK = 2048
+#: Vectors in a block of neighbouring lists, or of one long list, about; and half of the probes of a block.
+BLOCK = 16_384
+#: Scores that are held at once.
+SCORES = 4 << 20
 DEGREE, LEAST_LISTS = 24, 4
 
 
@@ -128,6 +131,17 @@ def fit_centroids(x: np.ndarray, lists: int, seed: int = 3) -> np.ndarray:
     return c
 
 
+def in_line(c: np.ndarray) -> np.ndarray:
+    """An order of centroids in which near ones mostly have near places: halves by the widest coordinate, and so on."""
+    def halves(ids: np.ndarray) -> list[np.ndarray]:
+        if len(ids) <= 2:
+            return [ids]
+        by = ids[np.argsort(c[ids, c[ids].var(0).argmax()], kind="stable")]
+        return [*halves(by[: len(by) // 2]), *halves(by[len(by) // 2 :])]
+
+    return np.concatenate(halves(np.arange(len(c))))
+
+
 def calibrate(graph: CentroidGraph, x: np.ndarray, k: int, queries: int = 300) -> float:
     """The slack with which queries from the sample find RECALL of their k nearest."""
     q = x[:queries]
@@ -164,14 +178,20 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
+def _matrix(column: pa.Array, dims: int, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dims).astype(np.float64)
 
 
 def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best of x for each q: larger score first, ties to the smaller id; scores summed in the order of the coordinates."""
+    """(ids, scores) of the k best of x for each q: larger score first, ties to the smaller id; scores summed in the order of the coordinates.
+
+    A matrix product tells which may be among them: all that its rounding error leaves possible are scored exactly, so ties at the end are settled by id however many there are.
+    """
     rough = q @ x.T
-    take = min(len(x), k + 16)
+    take = min(len(x), k)
+    last = np.partition(rough, len(x) - take, 1)[:, len(x) - take]
+    error = 4 * q.shape[1] * np.finfo(float).eps * np.sqrt((q**2).sum(1) * (x**2).sum(1).max(initial=0.0))
+    take = max(take, int((rough >= (last - error)[:, None]).sum(1).max(initial=0)))
     at = np.argpartition(-rough, take - 1, 1)[:, :take]
     score = np.zeros(at.shape)
     for d in range(q.shape[1]):
@@ -181,33 +201,55 @@ def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.nda
     return ids[at][rows, order], score[rows, order]
 
 
+def _blocks(postings: DataFrame, probes: DataFrame) -> list[tuple[int, int, int, int]]:
+    """(list, block, parts, turns) of each list that is looked at: blocks of neighbouring lists with about BLOCK vectors; a longer list is cut into parts.
+
+    The postings of a block meet its probes in turns. There are at most MOST_LISTS lists.
+    """
+    size = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}
+    asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
+    block, held, load = 0, 0, {}
+    of = {}
+    for one in sorted(size.keys() & asked.keys()):
+        if held and held + size[one] > BLOCK:
+            block, held = block + 1, 0
+        of[one] = block
+        held += size[one]
+        n, w = load.get(block, (0, 0))
+        load[block] = (n + size[one], w + asked[one])
+    return [(one, b, -(-load[b][0] // (2 * BLOCK)), -(-load[b][1] // (2 * BLOCK))) for one, b in of.items()]
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), key, score: for each row for which the condition is_query(key column) holds, k rows other than itself.
 
     Score is the inner product in double precision; larger first, ties to the smaller key. Vectors that are
     null, empty or zero, that hold nulls or non-finite components, or that have another dimension than most
-    (of two equally frequent ones the larger) take no part. Keys must be unique and not null. Fewer
-    candidates than k are all returned; an empty table gives no rows. vectors is read twice.
+    (of two equally frequent ones the larger) take no part, nor do rows without a key. Of rows that repeat a
+    key, the one with the least vector counts. Fewer candidates than k are all returned; an empty table gives
+    no rows. vectors is read five times.
     """
     spark, kind = vectors.sparkSession, vectors.schema[key].dataType.simpleString()
-    valid = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(usable(F.col("v")))
-    common = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    empty = spark.createDataFrame([], f"query_id {kind}, rank int, `{key}` {kind}, score double")
-    if common is None:
-        return empty
-    dims = common["d"]
+    single = vectors.schema[vector].dataType.elementType.simpleString() == "float"
+    as_stored = np.dtype(np.float32 if single else np.float64)
+    valid = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    sized = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if sized is None:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, `{key}` {kind}, score double")
+    dims = sized["d"]
     valid = valid.filter(F.size("v") == dims)
-    # A vector's k + 1 smallest keys are all that any query can return of its copies.
-    same = W.partitionBy("v").orderBy("id")
-    copies = valid.select("id", "v", F.row_number().over(same).alias("i"), F.first("id").over(same).alias("rep")).filter(F.col("i") <= k + 1)
-    copies = written(copies, "copies")
-    reps = copies.filter("i = 1").select(F.col("id").alias("rep"), "v")
+    if valid.groupBy("id").count().filter("count > 1").head(1):
+        valid = written(valid.groupBy("id").agg(F.min("v").alias("v")), "valid")
+    # A vector's k + 1 smallest keys are all that any query can return of its copies; the rest goes before the shuffle.
+    few = valid.withColumn("i", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("i") <= k + 1)
+    reps = written(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.get("ids", 0).alias("rep"), "v", "ids"), "reps")
     n, longest = reps.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     length = float(np.sqrt(longest))
     most = max(k + 1, SAMPLE_COORDINATES // dims)
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(most).toArrow()
+    sample = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(most).toArrow()
     x = as_point(np.array(sample["v"].to_pylist(), float).reshape(-1, dims), length)
-    graph = CentroidGraph.of(fit_centroids(x, min(MOST_LISTS, -(-n // LIST_SIZE))))
+    centroids = fit_centroids(x, min(MOST_LISTS, -(-n // LIST_SIZE)))
+    graph = CentroidGraph.of(centroids[in_line(centroids)])
     graph.slack = calibrate(graph, x, k)
 
     def listed(point, lists):
@@ -217,42 +259,64 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
                     part = b.slice(s, 1024)
                     v = np.asarray(part.column(1).flatten()).reshape(-1, dims)
                     row, home = lists(point(v, length))
-                    body = pa.array([x.tobytes() for x in v], pa.binary())
+                    body = pa.array([x.tobytes() for x in v.astype(as_stored)], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), part.column(0).take(pa.array(row)), body.take(pa.array(row))], ["list", "rep", "v"])
 
         return run
 
     schema = f"list int, rep {kind}, v binary"
-    postings = written(reps.mapInArrow(listed(as_point, graph.homes), schema), "postings")
+    postings = written(reps.select("rep", "v").mapInArrow(listed(as_point, graph.homes), schema), "postings")
     weight = valid.groupBy("v").agg(F.min("id").alias("rep"), F.sum(is_query(F.col("id")).cast("int")).alias("w")).filter("w > 0")
     asked = written(weight, "asked")
     queries = written(lookup_join(written(valid.filter(is_query(F.col("id"))), "queries"), asked, "v", "w", "inner").select("id", "rep"), "query-reps")
     probes = written(asked.select("rep", "v").mapInArrow(listed(as_query, graph.probes), schema), "probes")
 
-    # Blocks: at most MOST_LISTS rows say how many there are of each list.
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-
-    sizes = F.broadcast(blocks(postings, "np").join(blocks(probes, "nq"), "list"))
+    blocks = _blocks(postings, probes)
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        mine, theirs = ("p", "q") if own == "np" else ("q", "p")
-        spread = df.join(sizes, "list").withColumn(mine, F.pmod(F.xxhash64("rep"), F.col(own)).cast("int"))
-        return spread.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("list", "p", "q", "rep", "v").groupBy("list", "p", "q")
+        mine, theirs = ("part", "turn") if own == "parts" else ("turn", "part")
+        spread = df.join(F.broadcast(spark.createDataFrame(blocks, "list int, block int, parts int, turns int")), "list").withColumn(mine, F.pmod(F.xxhash64("rep"), F.col(own)).cast("int"))
+        return spread.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("block", "part", "turn", "list", "rep", "v").groupBy("block", "part", "turn")
 
     def match(points: pa.Table, asks: pa.Table) -> pa.Table:
-        lists = pa.list_(pa.struct([("neg", pa.float64()), ("rep", points.schema.field("rep").type)]))
-        out = {"rep": pa.array([], points.schema.field("rep").type), "found": pa.array([], lists)}
-        if len(points) and len(asks):
-            ids, scores = _best(_matrix(asks["v"], dims), _matrix(points["v"], dims), np.asarray(points["rep"]), k + 1)
-            out = {"rep": asks["rep"], "found": pa.array([[{"neg": -s, "rep": i} for i, s in zip(a, b, strict=True)] for a, b in zip(ids.tolist(), scores.tolist(), strict=True)], lists)}
-        return pa.table(out)
-
-    found = dealt(postings, "np", "nq").cogroup(dealt(probes, "nq", "np")).applyInArrow(match, f"rep {kind}, found array<struct<neg:double,rep:{kind}>>")
-    best = found.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
-    best = written(best, "best").select(F.col("rep").alias("ask"), F.explode("found").alias("f")).select("ask", F.col("f.neg").alias("neg"), F.col("f.rep").alias("rep"))
-    members = copies.groupBy("rep").agg(F.collect_list("id").alias("ids"))
-    expanded = best.join(members, "rep").select("ask", F.transform("ids", lambda i: F.struct(F.col("neg").alias("neg"), i.alias("id"))).alias("m"))
+        kinds = (points if len(points) else asks).schema.field("rep").type
+        if not len(points) or not len(asks):
+            return pa.table({"ask": pa.array([], kinds), "rep": pa.array([], kinds), "neg": pa.array([], pa.float64())})
+        points, asks = points.sort_by("list"), asks.sort_by("list")
+        rep, x, q = np.asarray(points["rep"]), _matrix(points["v"], dims, as_stored), _matrix(asks["v"], dims, as_stored)
+        own, wanted = np.asarray(points["list"]), np.asarray(asks["list"])
+        name = asks["rep"].combine_chunks().dictionary_encode()
+        of = np.asarray(name.indices).astype(np.int64)
+        rows, reps_, negs = [np.zeros(0, np.int64)], [rep[:0]], [np.zeros(0)]
+        for one in np.unique(wanted):
+            a, b = np.searchsorted(own, [one, one + 1])
+            c, d = np.searchsorted(wanted, [one, one + 1])
+            step = max(1, SCORES // max(1, b - a))
+            for s in range(c, d if b > a else c, step):
+                e = min(d, s + step)
+                ids, scores = _best(q[s:e], x[a:b], rep[a:b], k + 1)
+                rows.append(np.repeat(of[s:e], ids.shape[1]))
+                reps_.append(ids.ravel())
+                negs.append(-scores.ravel())
+        row, ids, neg = np.concatenate(rows), np.concatenate(reps_), np.concatenate(negs)
+        order = np.lexsort((ids, neg, row))
+        row, ids, neg = row[order], ids[order], neg[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+        row, ids, neg = row[new], ids[new], neg[new]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        few = place <= k
+        return pa.table({"ask": name.dictionary.take(pa.array(row[few])), "rep": pa.array(ids[few], kinds), "neg": pa.array(neg[few])})
+
+    found = dealt(postings, "parts", "turns").cogroup(dealt(probes, "turns", "parts")).applyInArrow(match, f"ask {kind}, rep {kind}, neg double")
+    # A vector found in several blocks has one score, so the dense rank counts it once; all but k + 1 of each task go before the shuffle.
+    ranked = found.withColumn("r", F.dense_rank().over(W.partitionBy("ask").orderBy("neg", "rep"))).filter(F.col("r") <= k + 1)
+    best = written(ranked.groupBy("ask", "rep").agg(F.min("neg").alias("neg")), "best")
+    # Most vectors have no copies; those that have may be found by very many queries.
+    twins = reps.filter(F.size("ids") > 1).select("rep", "ids")
+    met = best.groupBy("rep").agg(F.count("*").alias("w"))
+    spread = lookup_join(best, written(twins.join(met, "rep"), "twins"), "rep", "w").withColumn("ids", F.coalesce("ids", F.array("rep")))
+    expanded = spread.select("ask", F.transform("ids", lambda i: F.struct(F.col("neg").alias("neg"), i.alias("id"))).alias("m"))
     answers = expanded.groupBy("ask").agg(F.slice(F.array_sort(F.flatten(F.collect_list("m"))), 1, k + 1).alias("m"))
     counts = queries.groupBy("rep").agg(F.count("*").alias("w"))
     answers = written(answers.withColumnRenamed("ask", "rep").join(counts, "rep"), "answers")
