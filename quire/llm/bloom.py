@@ -1,7 +1,7 @@
 """Bloom filters over 64-bit hashes, built by Spark and looked up in Python workers.
 
-A filter has at most MOST_BITS bits, so what is sent to the driver and to the executors is bounded. A
-filter of more keys than that suits passes more rows; it never loses one.
+A filter has at most MOST_BITS bits (32 MB), so what is sent to the driver and to the executors is bounded. A
+filter of more keys than that suits (see suits) passes more rows; it never loses one.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_BITS = 1 << 26
+MOST_BITS = 1 << 28
 _SHIFTS = (0, 19, 38)
 
 
@@ -19,6 +19,15 @@ class Bloom:
     def __init__(self, words: np.ndarray):
         self.words, self.mask = words, np.uint64(64 * len(words) - 1)
 
+    @staticmethod
+    def of(hashes: np.ndarray) -> Bloom:
+        """The filter of hashes at hand."""
+        bits = min(MOST_BITS, 1 << max(12, (16 * len(hashes)).bit_length()))
+        held = np.zeros(bits, bool)
+        for shift in _SHIFTS:
+            held[(hashes.view(np.uint64) >> np.uint64(shift)) & np.uint64(bits - 1)] = True
+        return Bloom(np.packbits(held, bitorder="little").view(np.uint64))
+
     def maybe(self, hashes: np.ndarray) -> np.ndarray:
         h, found = hashes.view(np.uint64), True
         for shift in _SHIFTS:
@@ -26,6 +35,10 @@ class Bloom:
             found = found & ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1)
         return found
 
+    def suits(self, count: int) -> bool:
+        """Whether so many keys leave at least eight bits for each, with which about one other key in thirty passes."""
+        return 8 * count <= 64 * len(self.words)
+
     def holds(self, hashes: Column) -> Column:
         """True where a hash (long, not null) may be in the filter."""
 

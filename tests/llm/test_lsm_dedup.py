@@ -1,6 +1,6 @@
 from collections import Counter
 
-import pyarrow as pa
+import numpy as np
 import pytest
 from quire.llm import lsm_dedup
 from pyspark.sql import functions as F
@@ -26,17 +26,50 @@ def test_like_brute_force(spark, keep, best, digest_bytes):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == brute(ROWS, best)
 
 
+def digests(df):
+    return df.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"), F.col("doc_id").alias("id"))
+
+
 def test_runs_are_sorted_and_merged(spark):
     index = lsm_dedup.LsmIndex(spark, "min", memtable_rows=50)
-    df = frame(spark, ROWS).select(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"), F.col("doc_id").alias("id"))
+    df = digests(frame(spark, ROWS))
     index.insert(df.filter("id < 300"))
     index.insert(df.filter("id >= 300"))
-    runs = index.levels[0].toPandas()
-    assert runs.groupby("run").size().max() <= 150
-    for _, r in runs.groupby("run"):
-        assert r.digest.is_monotonic_increasing and r.digest.is_unique
+    for level in index.levels:
+        for _, r in level.toPandas().groupby("run"):
+            head, r = r[r["filter"].notna()].iloc[0], r[r["filter"].isna()]
+            assert 0 < len(r) <= 50 and head.n == len(r) and r.n.sum() <= 50
+            assert r.digest.is_monotonic_increasing and r.digest.is_unique
+            assert (head.digest, head["last"]) == (r.digest.iloc[0], r.digest.iloc[-1])
+            own = lsm_dedup._hash([bytes(d) for d in r.digest])
+            some = lsm_dedup.Bloom(np.frombuffer(head["filter"], np.uint64))
+            assert some.maybe(own).all() and some.maybe(~own).mean() < 0.2
     level = index.compact().collect()
     assert len({bytes(r.digest) for r in level}) == len(level) and sum(r.n for r in level) == len(ROWS)
+    assert len(index.levels) == 1
+
+
+@pytest.mark.parametrize("block", [200_000, 16])
+def test_batches_against_a_stored_level(spark, monkeypatch, block):
+    monkeypatch.setattr(lsm_dedup, "BLOCK_ROWS", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    index = lsm_dedup.LsmIndex(spark, "min", memtable_rows=64)
+    parts = [[r for r in ROWS if r[0] % 3 == i] for i in range(3)]
+    known = {}
+    for part in parts:
+        batch = digests(frame(spark, part))
+        if index.levels:
+            got = {bytes(r.digest): (r.keep_id, r.n) for r in index.lookup(batch).collect()}
+            own = {bytes(r.digest) for r in batch.collect()}
+            assert got == {d: v for d, v in known.items() if d in own} and got
+            unknown = spark.createDataFrame([(bytes(32),), (b"\xff" * 32,), (None,)], "digest binary")
+            assert index.lookup(unknown).count() == 0
+        index.insert(batch)
+        for r in batch.collect():
+            keep, n = known.get(bytes(r.digest), (r.id, 0))
+            known[bytes(r.digest)] = (min(keep, r.id), n + 1)
+    assert {bytes(r.digest): (r.keep_id, r.n) for r in index.compact().collect()} == known
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_repeated_rows_empty_and_kept(spark):
