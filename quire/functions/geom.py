@@ -43,6 +43,11 @@ def half_up(v: Column) -> Column:
     return F.floor(v + 0.5)
 
 
+def truncated(v: Column) -> Column:
+    """M1: a whole number, towards 0."""
+    return v.cast("long")
+
+
 def round4(v: Column) -> Column:
     """Four decimals, half-even on the exact binary value (bround and round go by the decimal text)."""
     return F.regexp_replace(F.format_number(v, 4), ",", "").cast("double")

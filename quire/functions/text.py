@@ -13,6 +13,10 @@ KINDS = ["marks", "favorites", "bookmarks", "recent", "answerSplits", "lastPage"
 WIDE_NUMBER, SURE = 0.08, 0.6
 
 
+#: What a classifier is asked.
+PROMPT = f"What is on this cut-out of a textbook page? Answer with JSON alone: {{\"type\": one of {', '.join(TYPES)}, \"confidence\": a number from 0 to 1}}."
+
+
 def parse_reply(raw: Column) -> Column:
     """STR1: struct(type, confidence, needs_review) of a classifier's reply.
 
@@ -47,7 +51,11 @@ def trailing_number(text: Column) -> Column:
     return F.regexp_extract(text, r"(\d+)$", 1).try_cast("long")
 
 
-def page_span(text: Column, low: int = 10, high: int = 295, most: int = 15) -> Column:
+# Limits of a span of pages.
+SPAN_LOW, SPAN_HIGH, SPAN_MOST = 10, 295, 15
+
+
+def page_span(text: Column, low: int = SPAN_LOW, high: int = SPAN_HIGH, most: int = SPAN_MOST) -> Column:
     """STR3: struct(a, b) of the first "a ~ b" or "a - b", null unless low <= a <= high, a <= b and b - a <= most."""
     pattern = r"(\d{1,3})\s*[~-]\s*(\d{1,3})"
     a, b = (F.regexp_extract(text, pattern, i).try_cast("int") for i in (1, 2))

@@ -1,4 +1,4 @@
-"""Reading order, attachments and set-based edits: O1-O3, W8, W9, J8, J10, J11, A9, A10, U1-U9."""
+"""Reading order, attachments and set-based edits: O1-O3, W8, W9, J8, J10, J11, A9, A10, U1-U9, U11."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import block_id, role_of, trailing_number
+from quire.operators.review import flag_outliers
 
 # What may be attached to another block.
 ATTACHABLE = ["text", "figure", "formula", "table"]
@@ -38,13 +39,14 @@ def place_attached(blocks: DataFrame, rank: str = "rank", out: str = "place") ->
     return met.withColumn(out, F.row_number().over(w) - 1).drop("__t", "__r")
 
 
-def save_order(blocks: DataFrame, position: str = "ord", half: float = 0.5, row: float = 0.008) -> DataFrame:
-    """O3: pages ascending, O1 then O2 in each; order from 0 in the page, position_in_book from 0."""
+def save_order(blocks: DataFrame, position: str = "ord", half: float = 0.5, row: float = 0.008, book: str = "book") -> DataFrame:
+    """O3: pages ascending in their book, O1 then O2 in each; order from 0 in the page, position_in_book from 0. Page numbers are of one book each."""
     placed = place_attached(reading_order(blocks, position, half, row), out="order")
-    sizes = placed.groupBy("page").agg(F.count("*").alias("__n"))
-    # One row for each page, so the running total over pages is small.
-    before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(W.orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return placed.join(before, "page").withColumn("position_in_book", F.col("__b") + F.col("order")).drop("__b")
+    sizes = placed.groupBy(book, "page").agg(F.count("*").alias("__n"))
+    # One row for each page, so the running total over a book's pages is small.
+    before = W.partitionBy(book).orderBy("page").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("page", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
+    return placed.join(starts, "page").withColumn("position_in_book", F.col("__b") + F.col("order")).drop("__b")
 
 
 def problem_index(blocks: DataFrame, position: str) -> DataFrame:
@@ -99,6 +101,26 @@ def retype(blocks: DataFrame, change: Column, kind: Column) -> DataFrame:
     return blocks.withColumn("type", F.when(change, kind).otherwise(F.col("type"))).withColumn("role", F.when(change, role_of(kind)).otherwise(F.col("role"))).withColumn("attach_to", F.when(~change, F.col("attach_to")))
 
 
+def resize(blocks: DataFrame, rects: DataFrame, width: Column, height: Column, least: float = 5) -> DataFrame:
+    """Boxes overwritten by pixel rectangles (page, id, px0, py0, px1, py1) as shares of the page, neither rounded nor kept inside it.
+
+    A side that was dragged (edges holds L, R, T or B) stays `least` pixels away from the one across.
+    """
+    dragged = lambda e: F.col("edges").contains(e)
+    x0 = F.when(dragged("L"), F.least("px0", F.col("px1") - least)).otherwise(F.col("px0"))
+    x1 = F.when(dragged("R"), F.greatest("px1", x0 + least)).otherwise(F.col("px1"))
+    y0 = F.when(dragged("T"), F.least("py0", F.col("py1") - least)).otherwise(F.col("py0"))
+    y1 = F.when(dragged("B"), F.greatest("py1", y0 + least)).otherwise(F.col("py1"))
+    new = rects.select("page", "id", F.struct((x0 / width).alias("x"), (y0 / height).alias("y"), ((x1 - x0) / width).alias("w"), ((y1 - y0) / height).alias("h")).alias("__r"))
+    met = blocks.join(new, ["page", "id"], "left")
+    return met.withColumns({c: F.coalesce(F.col(f"__r.{c}"), F.col(c).cast("double")) for c in "xywh"}).select(blocks.columns)
+
+
+def discard(saved: DataFrame, area: Column, **limits) -> DataFrame:
+    """What was saved last, with its review flags worked out anew; edits since are gone."""
+    return flag_outliers(saved.drop("needs_review", "area", "median_area"), area, **limits)
+
+
 def attach(blocks: DataFrame, links: DataFrame) -> DataFrame:
     """Links (id, target) set or, with a null target, clear the pointer of attachable blocks; a block is never its own target."""
     m = links.select("id", F.col("target").alias("__target"), F.lit(True).alias("__hit")).filter(F.col("__target").isNull() | (F.col("__target") != F.col("id")))

@@ -1,4 +1,4 @@
-"""Last-write-wins user state: ST1-ST4, ST7-ST9, ST11, A13, U10, P15, P17, O4, O5, S16, E17-E19.
+"""Last-write-wins user state: ST1-ST9, ST11, S15, S18, A13, U10, P15, P17, O4, O5, S16, E17-E19.
 
 Entries are rows (book, kind, key, v, t, d, seq): v a JSON text, t the time in milliseconds, d 1 for a
 tombstone, seq the order of arrival. A key's entry of the largest t counts, of equal t the first to arrive.
@@ -7,13 +7,14 @@ Tombstones are rows and never go; a live entry may hold JSON null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import KINDS
 
 KEY = ["book", "kind", "key"]
+STORED = "book string, kind string, key string, v string, t double, d int, seq long"
 
 
 def accepted(entries: DataFrame) -> DataFrame:
@@ -38,6 +39,37 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(before.select(*KEY, F.col("t").alias("__t")), KEY, "left").filter(F.col("__t").isNull() | (F.col("t") > F.col("__t"))).select(*KEY)
 
 
+def reconciled(local: DataFrame, server: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ST6: (local, server) after a pull and then a push. Of equal times each side keeps what it had."""
+    pulled = merged(local, server)
+    return pulled, merged(server, pulled)
+
+
+def pushes(changes: DataFrame, wait: int = 800) -> DataFrame:
+    """ST5: book, at: when the ledger is sent: `wait` milliseconds after a change (book, t in milliseconds) that no other one of the book follows within that time."""
+    later = F.lead("t").over(W.partitionBy("book").orderBy("t"))
+    return changes.select("book", "t").distinct().withColumn("__n", later).filter(F.col("__n").isNull() | (F.col("__n") - F.col("t") >= wait)).select("book", (F.col("t") + wait).alias("at"))
+
+
+def from_ledger(text: Column) -> Column:
+    """A stored ledger as an array of entries (kind, key, v as JSON text, t, d): unknown kinds and what is no object are dropped; bad JSON gives none."""
+    kinds = F.from_json(text, "map<string,string>")
+    entry = "struct<v:string,t:double,d:int>"
+
+    def of(kind: str) -> Column:
+        items = F.map_entries(F.from_json(F.try_element_at(kinds, F.lit(kind)), f"map<string,{entry}>"))
+        made = F.transform(items, lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"]["v"].alias("v"), e["value"]["t"].alias("t"), F.coalesce(e["value"]["d"], F.lit(0)).alias("d")))
+        return F.coalesce(made, F.array().cast("array<struct<kind:string,key:string,v:string,t:double,d:int>>"))
+
+    return F.concat(*(of(k) for k in KINDS))
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """The state stored at path; an empty one is written first where there is none."""
+    spark.createDataFrame([], STORED).write.mode("ignore").parquet(path)
+    return spark.read.schema(STORED).parquet(path)
+
+
 def of_book(state: DataFrame, book: str) -> DataFrame:
     """All of one book, tombstones too."""
     return state.filter(F.col("book") == book)

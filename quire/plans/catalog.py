@@ -85,17 +85,45 @@ def review_ratio(spark, sf):
 _UNITS = "units AS (SELECT * FROM (VALUES " + ", ".join(f"('{u}', '{t}', CAST({a} AS BIGINT), CAST({b} AS BIGINT))" for u, t, a, b in answers.UNITS) + ") v(unit, title, start_page, end_page))"
 
 
-@query(f"""WITH {s.BLOCKS}, {_UNITS}, flagged AS (
-  SELECT DISTINCT page FROM (SELECT page, w * h > 2.5 * greatest(median(w * h) OVER (PARTITION BY page, type), 1.0) AS f FROM blocks) WHERE f AND page % 9 = 4)
+@query(f"""WITH {s.BLOCKS}, {_UNITS}, flagged AS (SELECT DISTINCT page FROM (SELECT page, id, w * h > 2.5 * greatest(median(w * h) OVER (PARTITION BY page, type), 1.0) AS f FROM blocks) WHERE f AND id % 9 = 4)
 SELECT u.unit, c.page AS current, arg_min(f.page, (f.page - c.page - 1 + (u.end_page - u.start_page + 1)) % (u.end_page - u.start_page + 1)) AS next_page
 FROM (SELECT DISTINCT page FROM blocks) c JOIN units u ON c.page BETWEEN u.start_page AND u.end_page LEFT JOIN flagged f ON f.page BETWEEN u.start_page AND u.end_page GROUP BY u.unit, c.page""")
 def next_review_page(spark, sf):
-    """From every page of every unit (flags of some pages only, so that there are gaps)."""
-    flagged = review.flag_outliers(s.blocks(spark, sf), geom.area(geom.box()), least=1.0).filter("page % 9 = 4")
+    """From every page of every unit (a reader has looked at eight of nine flagged blocks, so that pages without flags are left)."""
+    flagged = review.flag_outliers(s.blocks(spark, sf), geom.area(geom.box()), least=1.0).withColumn("needs_review", F.col("needs_review") & (F.col("id") % 9 == 4))
     current = s.blocks(spark, sf).select(F.col("page").alias("current")).distinct()
     return review.next_page(flagged, answers.units(spark), current)
 
 
+_STATUS = "st AS (SELECT page, CASE WHEN max(id % 3) = 2 AND page % 4 <> 0 THEN 'done' ELSE 'pending' END AS status FROM blocks WHERE page % 5 <> 0 GROUP BY page)"
+
+
+def _status(spark, sf):
+    """Every fifth page has no status."""
+    b = s.blocks(spark, sf).filter("page % 5 <> 0").groupBy("page").agg(F.max(F.col("id") % 3).alias("m"))
+    return b.select("page", F.when((F.col("m") == 2) & (F.col("page") % 4 != 0), "done").otherwise("pending").alias("status"))
+
+
+@query(f"""WITH {s.BLOCKS}, {_STATUS}, p AS (SELECT DISTINCT page FROM blocks)
+SELECT 'done' AS filter, page FROM p JOIN st USING (page) WHERE status = 'done' UNION ALL SELECT '10-24', page FROM p WHERE page BETWEEN 10 AND 24
+UNION ALL SELECT 'pending', page FROM p LEFT JOIN st USING (page) WHERE coalesce(status, '') <> 'done'""")
+def page_filters(spark, sf):
+    """Pages that are done, in a range, and not done."""
+    pages, status = s.blocks(spark, sf).select("page").distinct(), _status(spark, sf)
+    each = [review.chosen_pages(pages, status, w).select(F.lit(w).alias("filter"), "page") for w in ("done", "10-24", "pending")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query(f"""WITH {s.BLOCKS}, d AS (SELECT page // 100 AS book, id % 7 + 0.5e0 AS seconds FROM blocks WHERE page % 3 = 0 AND page >= 100),
+t AS (SELECT page // 100 AS book, count(*) AS total FROM blocks GROUP BY 1), f AS (SELECT book, count(*) AS finished, avg(seconds) AS mean FROM d GROUP BY 1)
+SELECT book, total, coalesce(finished, 0) AS finished, round(mean * (total - coalesce(finished, 0)), 6) AS seconds_left FROM t LEFT JOIN f USING (book)""")
+def time_left(spark, sf):
+    """Blocks of books of a hundred pages, of which every third page is classified."""
+    b = s.blocks(spark, sf).withColumn("book", F.expr("page div 100"))
+    done = b.filter("page % 3 = 0 AND page >= 100").select("book", (F.col("id") % 7 + 0.5).alias("seconds"))
+    return review.remaining(b, done).withColumn("seconds_left", F.round("seconds_left", 6))
+
+
 # Order ------------------------------------------------------------------------------------------------
 
 _KEYS = "type = 'page_number', x > 500, round_even(y / 8, 0), type <> 'problem_number'"
@@ -128,10 +156,10 @@ def attached_order(spark, sf):
     return order.place_attached(order.reading_order(_attached(spark, sf), half=500, row=8)).select("page", "id", "attach_to", "rank", "place")
 
 
-@query(f"""WITH {s.BLOCKS}, {_ATTACHED}, {_PLACED} SELECT page, id, place AS "order", row_number() OVER (ORDER BY page, place) - 1 AS position_in_book FROM placed""")
+@query(f"""WITH {s.BLOCKS}, {_ATTACHED}, {_PLACED} SELECT page, id, place AS "order", row_number() OVER (PARTITION BY page // 300 ORDER BY page, place) - 1 AS position_in_book FROM placed""")
 def save_order(spark, sf):
-    """O3."""
-    return order.save_order(_attached(spark, sf), half=500, row=8).select("page", "id", "order", "position_in_book")
+    """O3: books of 300 pages."""
+    return order.save_order(_attached(spark, sf).withColumn("book", F.expr("page div 300")), half=500, row=8).select("page", "id", "order", "position_in_book")
 
 
 @query(f"WITH {s.BLOCKS} SELECT page, id, CAST(sum(CASE WHEN type = 'problem_number' THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY ord) AS BIGINT) AS problem_index FROM blocks")
@@ -178,6 +206,25 @@ def retype_and_attach(spark, sf):
     return order.retype(linked, F.col("ord") == 12, F.lit("table")).select("page", "id", "type", "role", "attach_to")
 
 
+@query(f"""WITH {s.BLOCKS}, r AS (SELECT *, CASE id % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'RB' ELSE '' END AS edges, x + 20 AS px0, y - 5 AS py0, x + CASE id % 2 WHEN 0 THEN 22 ELSE 400 END AS px1, y + CASE id % 5 WHEN 0 THEN -9 ELSE 60 END AS py1 FROM blocks WHERE ord IN (2, 5)),
+q AS (SELECT page, id, CASE WHEN edges = 'L' THEN least(px0, px1 - 5) ELSE px0 END AS x0, py0 AS y0, px1, py1, edges FROM r),
+n AS (SELECT page, id, x0, y0, CASE WHEN edges = 'RB' THEN greatest(px1, x0 + 5) ELSE px1 END AS x1, CASE WHEN edges = 'RB' THEN greatest(py1, y0 + 5) ELSE py1 END AS y1 FROM q)
+SELECT b.page, b.id, coalesce(x0 / 1073, b.x) AS x, coalesce(y0 / 1500, b.y) AS y, coalesce((x1 - x0) / 1073, b.w) AS w, coalesce((y1 - y0) / 1500, b.h) AS h FROM blocks b LEFT JOIN n USING (page, id)""")
+def resize_blocks(spark, sf):
+    """Two blocks of each page drawn anew, some by dragging a side past the one across."""
+    b = s.blocks(spark, sf)
+    rects = b.filter("ord IN (2, 5)").selectExpr("page", "id", "CASE id % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'RB' ELSE '' END AS edges", "x + 20 AS px0", "y - 5 AS py0", "x + CASE id % 2 WHEN 0 THEN 22 ELSE 400 END AS px1", "y + CASE id % 5 WHEN 0 THEN -9 ELSE 60 END AS py1")
+    return order.resize(b.select("page", "id", *(F.col(c).cast("double").alias(c) for c in "xywh")), rects, F.lit(1073), F.lit(1500))
+
+
+@query(f"""WITH {s.BLOCKS}, m AS (SELECT *, w * h AS area, CAST(median(w * h) OVER (PARTITION BY page, type) AS DOUBLE) AS median_area FROM blocks)
+SELECT page, id, type, x, area > 2.5 * greatest(median_area, 1.0) AS needs_review FROM m""")
+def discard_edits(spark, sf):
+    """After edits and wrong flags, the saved blocks again."""
+    saved = s.blocks(spark, sf).withColumn("needs_review", F.lit(True))
+    return order.discard(saved, geom.area(geom.box()), least=1.0).select("page", "id", "type", "x", "needs_review")
+
+
 @query(f"""WITH {s.BLOCKS}, {_ATTACHED}, drawn AS (SELECT page, x, y, w % 12 AS w, h % 9 AS h FROM blocks WHERE ord IN (1, 8)),
 ok AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, w, h) - 1 AS i FROM drawn WHERE w > 5 AND h > 5),
 n AS (SELECT page, max(CAST(regexp_extract(id, '(\\d+)$', 1) AS BIGINT)) + 1 AS n, max(ord) AS o FROM attached GROUP BY page)
@@ -313,35 +360,44 @@ def unit_progress(spark, sf):
     return answers.unit_progress(answers.units(spark), st)
 
 
-@query(f"WITH {s.ANCHORS} SELECT answer_page, a, b FROM kept")
+@query(f"WITH {s.ANCHORS} SELECT book, answer_page, a, b FROM kept")
 def monotone_anchors(spark, sf):
     """W6, STR3's ranges."""
-    return islands.monotone(s.anchors(spark, sf).withColumn("book", F.lit(1)), ["book"], "answer_page", "a").drop("book")
+    return islands.monotone(s.anchors(spark, sf), ["book"], "answer_page", "a")
 
 
-_MAP = f"""{s.ANCHORS}, covered AS (SELECT k, min(answer_page) AS v FROM (SELECT answer_page, unnest(generate_series(a, b)) AS k FROM kept) GROUP BY k),
+_MAP = f"""{s.ANCHORS}, covered AS (SELECT book, k, min(answer_page) AS v FROM (SELECT book, answer_page, unnest(generate_series(a, b)) AS k FROM kept) GROUP BY book, k),
 known AS (SELECT * FROM covered WHERE k % 3 <> 0),
-domain AS (SELECT unnest(generate_series(10, 291)) AS page),
-near AS (SELECT page, (SELECT max(k) FROM known WHERE k <= page) AS k0, (SELECT min(k) FROM known WHERE k >= page) AS k1 FROM domain),
-valued AS (SELECT page, k0, k1, CAST(a.v AS DOUBLE) AS v0, CAST(b.v AS DOUBLE) AS v1 FROM near LEFT JOIN known a ON a.k = k0 LEFT JOIN known b ON b.k = k1),
-mapped AS (SELECT page, greatest(1, least(900, CAST(CASE WHEN k0 = k1 THEN v0 WHEN k0 IS NULL THEN v1 WHEN k1 IS NULL THEN v0 ELSE round_even(v0 + (page - k0) / (k1 - k0) * (v1 - v0), 0) END AS BIGINT))) AS answer_page FROM valued)"""
+domain AS (SELECT book, unnest(generate_series(10, 291)) AS page FROM (SELECT DISTINCT book FROM known)),
+near AS (SELECT book, page, (SELECT max(k) FROM known WHERE k <= page AND known.book = domain.book) AS k0, (SELECT min(k) FROM known WHERE k >= page AND known.book = domain.book) AS k1 FROM domain),
+valued AS (SELECT near.book, page, k0, k1, CAST(a.v AS DOUBLE) AS v0, CAST(b.v AS DOUBLE) AS v1 FROM near LEFT JOIN known a ON a.k = k0 AND a.book = near.book LEFT JOIN known b ON b.k = k1 AND b.book = near.book),
+mapped AS (SELECT book, page, greatest(1, least(900, CAST(CASE WHEN k0 = k1 THEN v0 WHEN k0 IS NULL THEN v1 WHEN k1 IS NULL THEN v0 ELSE round_even(v0 + (page - k0) / (k1 - k0) * (v1 - v0), 0) END AS BIGINT))) AS answer_page FROM valued)"""
 
 
 def _mapped(spark, sf):
-    kept = islands.monotone(s.anchors(spark, sf).withColumn("book", F.lit(1)), ["book"], "answer_page", "a")
-    return answers.interpolated(answers.first_answers(kept).filter("k % 3 <> 0"), 900)
+    kept = islands.monotone(s.anchors(spark, sf), ["book"], "answer_page", "a")
+    return answers.interpolated(answers.first_answers(kept, ("book",)).filter("k % 3 <> 0"), 900, keys=("book",))
 
 
-@query(f"WITH {_MAP} SELECT page, answer_page FROM mapped")
+@query(f"WITH {_MAP} SELECT book, page, answer_page FROM mapped")
 def answer_page_map(spark, sf):
     """A11, W7, P18 (with every third page left out, so that there is something to fill)."""
     return _mapped(spark, sf)
 
 
-@query(f"WITH {_MAP}, known_map AS (SELECT * FROM mapped WHERE page % 2 = 0) SELECT p.page, coalesce(e.answer_page, c.answer_page) AS answer_page FROM (SELECT unnest(generate_series(1, 400)) AS page) p LEFT JOIN known_map e ON e.page = p.page LEFT JOIN known_map c ON c.page = greatest(10, least(290, p.page))")
+@query(f"""WITH {_MAP}, known_map AS (SELECT * FROM mapped WHERE page % 2 = 0)
+SELECT p.book, p.page, coalesce(e.answer_page, c.answer_page) AS answer_page FROM (SELECT book, unnest(generate_series(1, 400)) AS page FROM (SELECT DISTINCT book FROM raw)) p
+LEFT JOIN known_map e ON e.page = p.page AND e.book = p.book LEFT JOIN known_map c ON c.page = greatest(10, least(290, p.page)) AND c.book = p.book""")
 def answer_lookup(spark, sf):
     """J9."""
-    return answers.answer_for(spark.range(1, 401).select(F.col("id").alias("page")), _mapped(spark, sf).filter("page % 2 = 0"))
+    asked = s.anchors(spark, sf).select("book").distinct().select("book", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(400).cast("long"))).alias("page"))
+    return answers.answer_for(asked, _mapped(spark, sf).filter("page % 2 = 0"), ("book",))
+
+
+@query(f"""WITH {_MAP} SELECT book, '{{"schema_version":"1.0","count":900,"page_w":1240,"page_h":1754,"page_map":{{' || string_agg('"' || page || '":' || answer_page, ',' ORDER BY page) || '}}}}' AS document FROM mapped GROUP BY book""")
+def answers_documents(spark, sf):
+    """Each book's answers.json."""
+    return answers.answers_document(_mapped(spark, sf), ("book",), 900, 1240, 1754)
 
 
 # State ------------------------------------------------------------------------------------------------
@@ -407,6 +463,34 @@ def ledger_mutators(spark, sf):
     return fav.join(new, ["book", "key"], "left").withColumn("bookmark_added", F.coalesce("bookmark_added", F.lit(False)))
 
 
+@query(f"""WITH {s.LEDGER}, every AS (SELECT book, kind, key, v, d, t, seq, seq % 2 AS late FROM entries WHERE kind <> 'unknown'),
+l AS (SELECT *, row_number() OVER (PARTITION BY book, kind, key ORDER BY t DESC, late, seq) AS r FROM every), m AS (SELECT *, row_number() OVER (PARTITION BY book, kind, key ORDER BY t DESC, 1 - late, seq) AS r FROM every)
+SELECT 'local' AS side, book, kind, key, CASE WHEN d = 0 THEN v END AS v, t, d FROM l WHERE r = 1 UNION ALL SELECT 'server', book, kind, key, CASE WHEN d = 0 THEN v END, t, d FROM m WHERE r = 1""")
+def reconcile(spark, sf):
+    """ST6: a device's state (even entries) and the server's (odd ones) after a pull and a push."""
+    e = state.accepted(s.ledger(spark, sf))
+    local, server = state.reconciled(state.latest(e.filter("seq % 2 = 0")), state.latest(e.filter("seq % 2 = 1")))
+    columns = ["book", "kind", "key", "v", "t", "d"]
+    return local.select(F.lit("local").alias("side"), *columns).unionByName(server.select(F.lit("server").alias("side"), *columns))
+
+
+@query("""WITH e AS (SELECT DISTINCT 'book' || (user_id % 10) AS book, epoch_us(ts) / 1000 AS t FROM events), n AS (SELECT *, lead(t) OVER (PARTITION BY book ORDER BY t) AS later FROM e)
+SELECT book, t + 600000 AS at FROM n WHERE later IS NULL OR later - t >= 600000""")
+def debounced_pushes(spark, sf):
+    """ST5, with a wait of ten minutes, as the events are minutes apart."""
+    e = s.table(spark, sf, "events").select(F.format_string("book%d", F.col("user_id") % 10).alias("book"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("t"))
+    return state.pushes(e, 600_000)
+
+
+@query(f"WITH {s.LEDGER} SELECT book, kind, key, v, t, d FROM latest WHERE book <> 'book3'")
+def ledger_read(spark, sf):
+    """Each book's state written as one text, with a kind that is not known and one book's text cut off, and read again."""
+    st = _state(spark, sf)
+    other = st.limit(0).unionByName(st.select("book", F.lit("spam").alias("kind"), F.lit("k").alias("key"), F.lit("1").alias("v"), F.lit(1.0).alias("t"), F.lit(0).alias("d"), F.lit(0).cast("long").alias("seq")).distinct())
+    text = state.to_payload(st.unionByName(other)).withColumn("state", F.when(F.col("book") == "book3", F.expr("left(state, 40)")).otherwise(F.col("state")))
+    return text.select("book", F.explode(state.from_ledger(F.col("state"))).alias("e")).select("book", "e.*")
+
+
 @query("""WITH m AS (SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'done' WHEN 2 THEN 'important' END AS mark FROM events)
 SELECT event_id, mark, CASE WHEN mark IS NULL THEN 'done' WHEN mark = 'done' THEN 'important' END AS next_mark, (event_id // 16) || ':' || (event_id % 16) AS key FROM m""")
 def mark_cycle(spark, sf):
@@ -461,14 +545,11 @@ def classify_misses(spark, sf):
 
 # Segmentation -----------------------------------------------------------------------------------------
 
-_RUNS = "r AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents WHERE text IS NOT NULL)"
-_GRID = f"{_RUNS}, grid AS (SELECT page, unnest(generate_series(row * 12, row * 12 + 8)) AS y, 0 AS x0, least(length(line), 80) * 10 AS x1 FROM r WHERE row < 60 AND length(line) % 3 <> 0 AND length(line) > 0)"
-_BANDS = f"{_GRID}, bands AS (SELECT page, min(y) AS p0, max(y) + 1 AS p1 FROM (SELECT page, y, y - row_number() OVER (PARTITION BY page ORDER BY y) AS g FROM (SELECT page, y FROM grid GROUP BY page, y HAVING sum(x1 - x0) > 2)) GROUP BY page, g)"
+_BANDS = f"{s.GRID}, bands AS (SELECT page, min(y) AS p0, max(y) + 1 AS p1 FROM (SELECT page, y, y - row_number() OVER (PARTITION BY page ORDER BY y) AS g FROM (SELECT page, y FROM grid GROUP BY page, y HAVING sum(x1 - x0) > 2)) GROUP BY page, g)"
 
 
 def _bands(spark, sf):
-    rows = s.text_grid(spark, sf).groupBy("page", "y").agg(F.sum(F.col("x1") - F.col("x0")).alias("d"))
-    return islands.runs(rows, ["page"], "y", F.col("d") > 2)
+    return islands.row_bands(s.text_grid(spark, sf), ["page"])
 
 
 @query(f"WITH {_BANDS} SELECT page, p0, p1 FROM bands")
@@ -498,12 +579,13 @@ _COLUMNS = """dens AS (SELECT page, x, count(*) + k AS d FROM (SELECT 1 + event_
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY p0) AS island FROM g) SELECT page, min(p0) AS p0, max(p1) AS p1, count(*) AS n FROM i GROUP BY page, island""")
 def columns_merge(spark, sf):
     """A height of 100, so the least density is 2."""
-    d = s.table(spark, sf, "events").groupBy(F.expr("1 + event_id div 16").alias("page"), F.expr("event_id % 400 + 40 * (event_id % 16)").alias("x"), F.expr("event_id % 3").alias("k")).agg(F.count("*").alias("c")).select("page", "x", (F.col("c") + F.col("k")).alias("d"))
+    d = s.table(spark, sf, "events").groupBy(F.expr("1 + event_id div 16").alias("page"), F.expr("event_id % 400 + 40 * (event_id % 16)").alias("x"), F.expr("event_id % 3").alias("k")).agg(F.count("*").alias("c")).select("page", F.col("x").alias("p0"), (F.col("x") + 1).alias("p1"), (F.col("c") + F.col("k")).alias("d"))
+    d = d.groupBy("page", "p0", "p1").agg(F.max("d").alias("d"))
     return islands.column_runs(d, ["page"], F.lit(100), 90)
 
 
 @query(f"""WITH {s.BLOCKS}, m AS (SELECT page, ord AS i, h, list(h) OVER (PARTITION BY page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM blocks)
-SELECT page, min(i) AS split_at FROM m WHERE h > 1.35 * greatest(CAST(list_median(before) AS DOUBLE), 1.0) GROUP BY page""")
+SELECT page, min(i) AS split_at FROM m WHERE before IS NOT NULL AND h > 1.35 * greatest(CAST(list_median(before) AS DOUBLE), 1.0) GROUP BY page""")
 def tall_split(spark, sf):
     """W5, U2."""
     return islands.first_tall(s.blocks(spark, sf).withColumn("i", F.col("ord")), ["page"])
@@ -551,12 +633,81 @@ def debris_and_pad(spark, sf):
     return kept.select("page", "id", geom.padded(x, y, x + w, y + h, side, side).alias("p")).select("page", "id", "p.*")
 
 
-@query()
+_JUNK = "(x1 - x0 < 7 OR y1 - y0 < 7 OR (x1 - x0) * (y1 - y0) < 400 OR (x0 / width > 0.90 AND y1 / height < 0.35))"
+# The stages of R7 as tables. In the grid all rows of a line have the same runs, so a run of a line is a component.
+_DETECT = f"""{s.GRID},
+ends AS (SELECT page, p, sum(s) AS s FROM (SELECT page, x0 AS p, 1 AS s FROM grid UNION ALL SELECT page, x1, -1 FROM grid) GROUP BY page, p),
+dens AS (SELECT page, p AS p0, lead(p) OVER w AS p1, sum(s) OVER w AS d FROM ends WINDOW w AS (PARTITION BY page ORDER BY p)),
+cfresh AS (SELECT page, p0, p1, CASE WHEN p0 - lag(p1) OVER (PARTITION BY page ORDER BY p0) < 20 THEN 0 ELSE 1 END AS fresh FROM dens JOIN size USING (page) WHERE d > 0 AND d >= greatest(2, height * 0.004e0)),
+cols AS (SELECT page, min(p0) AS c0, max(p1) AS c1 FROM (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY p0) AS island FROM cfresh) GROUP BY page, island),
+cut AS (SELECT g.page, c0, y, greatest(x0, c0) AS x0, least(x1, c1) AS x1, tint FROM grid g JOIN cols c ON c.page = g.page AND x0 < c1 AND x1 > c0),
+crows AS (SELECT page, c0, y FROM cut GROUP BY page, c0, y HAVING sum(x1 - x0) > 2),
+cbands AS (SELECT page, c0, min(y) AS p0, max(y) + 1 AS p1 FROM (SELECT *, y - row_number() OVER (PARTITION BY page, c0 ORDER BY y) AS g FROM crows) GROUP BY page, c0, g),
+joining AS (SELECT page, greatest(6, CAST(trunc(median(p1 - p0) * 0.9e0) AS BIGINT)) AS gap FROM cbands GROUP BY page),
+bfresh AS (SELECT page, c0, p0, p1, CASE WHEN p0 - lag(p1) OVER (PARTITION BY page, c0 ORDER BY p0) <= CASE WHEN c0 / width > 0.65 THEN CAST(trunc(gap * 2.2e0) AS BIGINT) ELSE gap END THEN 0 ELSE 1 END AS fresh
+  FROM cbands JOIN joining USING (page) JOIN size USING (page) WHERE p1 - p0 >= 3),
+blk AS (SELECT page, c0, min(p0) AS p0, max(p1) AS p1 FROM (SELECT *, sum(fresh) OVER (PARTITION BY page, c0 ORDER BY p0) AS island FROM bfresh) GROUP BY page, c0, island),
+brows AS (SELECT k.*, p0, p1 FROM cut k JOIN blk b ON b.page = k.page AND b.c0 = k.c0 AND y >= p0 AND y < p1),
+tightened AS (SELECT page, c0, p0, min(x0) AS x0, p0 AS y0, max(x1) AS x1, p1 AS y1 FROM brows GROUP BY page, c0, p0, p1),
+box AS (SELECT t.*, b.p1 AS l1 FROM tightened t JOIN size USING (page) JOIN cbands b ON b.page = t.page AND b.c0 = t.c0 AND b.p0 = t.p0 WHERE NOT {_JUNK}),
+comp AS (SELECT r.page, r.c0, r.p0, r.x0, r.x1 - r.x0 AS w, count(*) AS h, (r.x1 - r.x0) * count(*) AS area, sum(tint) AS tint FROM brows r JOIN box b ON b.page = r.page AND b.c0 = r.c0 AND b.p0 = r.p0 AND r.y < b.l1 GROUP BY r.page, r.c0, r.p0, r.x0, r.x1 HAVING count(*) >= 10),
+placed AS (SELECT *, row_number() OVER w AS i, lead(x0) OVER w - (x0 + w) AS gap FROM comp WINDOW w AS (PARTITION BY page, c0, p0 ORDER BY x0, w, h)),
+heads AS (SELECT page, c0, p0, count(*) AS n, max(x0) FILTER (i = 1) AS fx, max(w) FILTER (i = 1) AS fw, max(x0) FILTER (i = 2) AS sx, max(area) FILTER (i = 1) AS fa, max(tint) FILTER (i = 1) AS ft,
+  max(gap) FILTER (i = 1) AS g1, CAST(median(gap) FILTER (i > 1 AND gap IS NOT NULL) AS DOUBLE) AS mid FROM placed GROUP BY page, c0, p0),
+judged AS (SELECT b.*, fx, fw, sx, coalesce(n >= 2 AND fa >= 20 AND ft > 0.6e0 * fa, FALSE) AS coloured, coalesce(n >= 3 AND g1 >= 15 AND g1 >= 2.2e0 * greatest(mid, 1.0), FALSE) AS spaced FROM box b LEFT JOIN heads USING (page, c0, p0)),
+piece AS (SELECT page, c0, p0, 0 AS piece, CASE WHEN coloured THEN fx ELSE x0 END AS x0, y0, fx + fw AS x1, l1 AS y1 FROM judged WHERE coloured OR spaced
+  UNION ALL SELECT page, c0, p0, 1, CASE WHEN coloured OR spaced THEN sx ELSE x0 END, y0, x1, y1 FROM judged),
+prows AS (SELECT p.page, p.c0, p.p0, p.piece, r.y, greatest(r.x0, p.x0) AS x0, least(r.x1, p.x1) AS x1 FROM brows r JOIN piece p ON p.page = r.page AND p.c0 = r.c0 AND p.p0 = r.p0 AND r.y >= p.y0 AND r.y < p.y1 AND r.x0 < p.x1 AND r.x1 > p.x0),
+pink AS (SELECT page, c0, p0, piece, y FROM prows GROUP BY page, c0, p0, piece, y HAVING sum(x1 - x0) > 2),
+pbands AS (SELECT page, c0, p0, piece, min(y) AS b0, max(y) + 1 - min(y) AS h FROM (SELECT *, y - row_number() OVER (PARTITION BY page, c0, p0, piece ORDER BY y) AS g FROM pink) GROUP BY page, c0, p0, piece, g),
+ahead AS (SELECT *, list(h) OVER (PARTITION BY page, c0, p0, piece ORDER BY b0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pbands),
+split AS (SELECT page, c0, p0, piece, min(b0) AS cut_y FROM ahead WHERE before IS NOT NULL AND h > 1.35e0 * greatest(CAST(list_median(before) AS DOUBLE), 1.0) GROUP BY page, c0, p0, piece),
+sides AS (SELECT page, c0, p0, piece, y >= cut_y AS low, min(x0) AS tx0, max(x1) AS tx1 FROM prows JOIN split USING (page, c0, p0, piece) GROUP BY page, c0, p0, piece, y >= cut_y),
+halves AS (SELECT page, c0, p0, piece, NULL AS low, x0, y0, x1, y1 FROM piece ANTI JOIN split USING (page, c0, p0, piece)
+  UNION ALL SELECT page, c0, p0, piece, FALSE, x0, y0, x1, cut_y FROM piece JOIN split USING (page, c0, p0, piece) UNION ALL SELECT page, c0, p0, piece, TRUE, x0, cut_y, x1, y1 FROM piece JOIN split USING (page, c0, p0, piece)),
+fine AS (SELECT page, coalesce(tx0, x0) AS x0, y0, coalesce(tx1, x1) AS x1, y1 FROM halves LEFT JOIN sides USING (page, c0, p0, piece, low)),
+found AS (SELECT page, greatest(0, x0 - 3) AS x0, greatest(0, y0 - 3) AS y0, least(width, x1 + 3) AS x1, least(height, y1 + 3) AS y1 FROM fine JOIN size USING (page) WHERE NOT {_JUNK})"""
+
+
+def _detected(spark, sf):
+    return islands.text_blocks(s.text_grid(spark, sf), s.page_sizes(spark, sf), ["page"])
+
+
+@query(f"WITH {_DETECT} SELECT page, x0, y0, x1, y1 FROM found")
 def detect_blocks(spark, sf):
-    """R7, R6, R8, P5, P11 on text grids; checked against plain Python in the tests."""
-    grid = s.text_grid(spark, sf)
-    size = grid.groupBy("page").agg(F.lit(800).cast("long").alias("width"), F.lit(720).cast("long").alias("height"))
-    return islands.text_blocks(grid, size, ["page"])
+    """R7, R5, R6, R10, R11, U2, W5, P3, P5, P11 on the lines of all texts."""
+    return _detected(spark, sf)
+
+
+_LINES = f"""{_DETECT}, lrows AS (SELECT b.page, b.x0 AS left_x, b.y0 AS top_y, y, greatest(g.x0, b.x0) AS x0, least(g.x1, b.x1) AS x1 FROM grid g JOIN found b ON b.page = g.page AND y >= b.y0 AND y < b.y1 AND g.x0 < b.x1 AND g.x1 > b.x0),
+link AS (SELECT page, left_x, top_y, y FROM lrows GROUP BY ALL HAVING sum(x1 - x0) > 2), lbands AS (SELECT page, left_x, top_y, min(y) AS y0, max(y) + 1 AS y1 FROM (SELECT *, y - row_number() OVER (PARTITION BY page, left_x, top_y ORDER BY y) AS g FROM link) GROUP BY page, left_x, top_y, g HAVING count(*) >= 3),
+lines AS (SELECT b.page, b.left_x, b.top_y, min(x0) AS x0, y0, max(x1) AS x1, y1 FROM lbands b JOIN lrows r ON r.page = b.page AND r.left_x = b.left_x AND r.top_y = b.top_y AND r.y >= y0 AND r.y < y1 GROUP BY b.page, b.left_x, b.top_y, y0, y1)"""
+
+
+def _lines(spark, sf):
+    boxes = _detected(spark, sf).withColumns({"left_x": F.col("x0"), "top_y": F.col("y0")})
+    return islands.lines_in_boxes(s.text_grid(spark, sf), boxes, ["page"], ["left_x", "top_y"])
+
+
+@query(f"WITH {_LINES} SELECT page, left_x, top_y, x0, y0, x1, y1 FROM lines")
+def box_lines(spark, sf):
+    """Lines of the blocks that R7 finds."""
+    return _lines(spark, sf).select("page", "left_x", "top_y", "x0", "y0", "x1", "y1")
+
+
+@query(f"""WITH {_LINES}, wide AS (SELECT l.*, (l.x1 - l.x0) / width > 332 / 1073 AS long FROM lines l JOIN size USING (page)),
+word AS (SELECT DISTINCT l.page, l.left_x, l.top_y, l.y0, r.x0 - l.x0 AS x, r.x1 - r.x0 AS w FROM wide l JOIN lrows r ON r.page = l.page AND r.left_x = l.left_x AND r.top_y = l.top_y AND r.y >= l.y0 AND r.y < l.y1 WHERE long AND r.x1 - r.x0 >= 3),
+wgap AS (SELECT *, row_number() OVER v AS i, lead(x) OVER v AS nx FROM word WINDOW v AS (PARTITION BY page, left_x, top_y, y0 ORDER BY x, w)),
+span AS (SELECT page, left_x, top_y, y0, count(*) AS n, min(x) AS l, arg_max(x + w, i) AS r FROM wgap GROUP BY ALL),
+mid AS (SELECT page, left_x, top_y, y0, arg_min((x + w + nx) // 2, [abs((x + w + nx) / 2 - (l + r) / 2), i]) AS cut_x FROM wgap JOIN span USING (page, left_x, top_y, y0) WHERE nx - (x + w) >= 4 GROUP BY ALL),
+judge AS (SELECT d.*, CASE WHEN n >= 2 AND (r - l) / (d.x1 - d.x0) < 0.5 THEN 'tight' WHEN n >= 2 AND cut_x IS NOT NULL THEN 'split' ELSE 'none' END AS kind, l, r, cut_x FROM wide d LEFT JOIN span USING (page, left_x, top_y, y0) LEFT JOIN mid USING (page, left_x, top_y, y0))
+SELECT page, left_x, top_y, CAST(0 AS BIGINT) AS half, CASE kind WHEN 'tight' THEN x0 + l ELSE x0 END AS x0, y0, CASE kind WHEN 'tight' THEN x0 + r WHEN 'split' THEN x0 + cut_x ELSE x1 END AS x1, y1 FROM judge
+UNION ALL SELECT page, left_x, top_y, 1, x0 + cut_x, y0, x1, y1 FROM judge WHERE kind = 'split'""")
+def wrap_lines(spark, sf):
+    """Lines wider than the reader's column in two halves, one tightened box, or as they are."""
+    lines = _lines(spark, sf).join(s.page_sizes(spark, sf), "page").withColumn("line_y", F.col("y0"))
+    long = (F.col("x1") - F.col("x0")) / F.col("width") > layout.WRAP_WIDTH
+    return islands.wrapped_lines(s.text_grid(spark, sf), lines, ["page"], ["left_x", "top_y", "line_y"], long).select("page", "left_x", "top_y", "half", "x0", "y0", "x1", "y1")
 
 
 @query(f"""WITH {s.RASTER}, n AS (SELECT id, level, count(*) AS n FROM pixels GROUP BY ALL),
@@ -568,6 +719,74 @@ def otsu_hist(spark, sf):
     return raster.otsu_levels(s.raster(spark, sf), ["id"])
 
 
+# The mask's pixels, their parts and the parts' areas.
+_INK = f"""{s.PICTURES}, n AS (SELECT id, level, count(*) AS n FROM px GROUP BY ALL),
+c AS (SELECT id, level, CAST(sum(n) OVER u AS BIGINT) AS b, CAST(sum(n * level) OVER u AS BIGINT) AS t, CAST(sum(n) OVER (PARTITION BY id) AS BIGINT) AS an, CAST(sum(n * level) OVER (PARTITION BY id) AS BIGINT) AS at_ FROM n WINDOW u AS (PARTITION BY id ORDER BY level)),
+otsu AS (SELECT id, arg_max(level, [score, -level]) AS threshold FROM (SELECT id, level, CASE WHEN an > b THEN b * (an - b) * pow(t / b - (at_ - t) / (an - b), 2) ELSE 0 END AS score FROM c) GROUP BY id),
+dark AS (SELECT px.* FROM px JOIN otsu USING (id) WHERE level <= threshold),
+reach AS (SELECT id, p AS a, p AS z, x, y FROM dark UNION SELECT r.id, r.a, d.p, d.x, d.y FROM reach r JOIN dark d ON d.id = r.id AND abs(d.x - r.x) <= 1 AND abs(d.y - r.y) <= 1),
+part AS (SELECT id, a AS p, min(z) AS label, count(*) AS area FROM reach GROUP BY id, a),
+ink AS (SELECT px.*, coalesce(area >= 4, FALSE) AS on_, label FROM px LEFT JOIN part USING (id, p))"""
+
+
+def _closed_sql(name: str, width: int, height: int, ellipse: str = "TRUE") -> str:
+    """Tables of a mask grown and shrunk again: {name}_c (id, p, on_)."""
+    near = f"abs(q.x - m.x) <= {width // 2} AND abs(q.y - m.y) <= {height // 2} AND {ellipse}"
+    return f"""{name}_g AS (SELECT m.id, m.p, m.x, m.y, bool_or(q.on_) AS on_ FROM ink m JOIN ink q ON q.id = m.id AND {near} GROUP BY ALL),
+{name}_c AS (SELECT m.id, m.p, bool_and(q.on_) AS on_ FROM {name}_g m JOIN {name}_g q ON q.id = m.id AND {near} GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_INK} SELECT id, string_agg(CASE WHEN on_ THEN '1' ELSE '0' END, '' ORDER BY p) AS mask FROM ink GROUP BY id")
+def ink_masks(spark, sf):
+    """R1, P4."""
+    return raster.ink_masks(s.pictures(spark, sf))
+
+
+_KERNELS = {"lines": raster.rectangle(9, 3), "words": raster.rectangle(5, 3), "round": raster.ellipse(5, 5)}
+
+
+@query(f"""WITH RECURSIVE {_INK}, {_closed_sql("l", 9, 3)}, {_closed_sql("w", 5, 3)}, {_closed_sql("e", 5, 5, "(abs(q.y - m.y) < 2 OR q.x = m.x)")}
+SELECT l_c.id, string_agg(CASE WHEN l_c.on_ THEN '1' ELSE '0' END, '' ORDER BY p) AS lines, string_agg(CASE WHEN w_c.on_ THEN '1' ELSE '0' END, '' ORDER BY p) AS words, string_agg(CASE WHEN e_c.on_ THEN '1' ELSE '0' END, '' ORDER BY p) AS round
+FROM l_c JOIN w_c USING (id, p) JOIN e_c USING (id, p) GROUP BY l_c.id""")
+def closed_masks(spark, sf):
+    """R2: closed by 9 by 3, 5 by 3, and an ellipse (5 by 5, as the pictures are small)."""
+    return raster.closed_masks(s.pictures(spark, sf), _KERNELS)
+
+
+@query(f"""WITH RECURSIVE {_INK} SELECT id, string_agg(CASE WHEN on_ AND NOT (x >= id % 5 - 1 AND x < id % 5 + 2 AND y >= id % 3 AND y < id % 3 + 4) AND NOT (x >= 6 AND x < 20 AND y >= 5 AND y < 6) THEN '1' ELSE '0' END, '' ORDER BY p) AS mask FROM ink GROUP BY id""")
+def blanked_masks(spark, sf):
+    """Without two boxes, which may reach over the side."""
+    boxes = "array(struct(id % 5 - 1 AS x0, id % 3 AS y0, id % 5 + 2 AS x1, id % 3 + 4 AS y1), struct(6L AS x0, 5L AS y0, 20L AS x1, 6L AS y1))"
+    return raster.blanked_masks(s.pictures(spark, sf).withColumn("boxes", F.expr(boxes)))
+
+
+@query(f"WITH RECURSIVE {_INK} SELECT id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM ink WHERE on_ GROUP BY id, label")
+def ink_parts(spark, sf):
+    """R5."""
+    return raster.ink_parts(s.pictures(spark, sf))
+
+
+_HSV = f"""{s.COLOURS}, v AS (SELECT *, greatest(blue, green, red) AS v, least(blue, green, red) AS low, (blue * 1868 + green * 9617 + red * 4899 + 8192) // 16384 AS grey FROM colours),
+h AS (SELECT *, CASE WHEN v = low THEN 0.0e0 WHEN v = red THEN 60 * (green - blue) / (v - low) WHEN v = green THEN 120 + 60 * (blue - red) / (v - low) ELSE 240 + 60 * (red - green) / (v - low) END AS deg FROM v),
+hsv AS (SELECT *, round_even(CASE WHEN deg < 0 THEN deg + 360 ELSE deg END / 2, 0) AS hue, CASE WHEN v > 0 THEN round_even(255 * (v - low) / v, 0) ELSE 0 END AS sat FROM h)"""
+
+
+@query(f"""WITH {_HSV}, s AS (SELECT id, count(*) FILTER (grey < 180) AS ink, count(*) FILTER (grey < 180 AND hue BETWEEN 85 AND 172 AND sat BETWEEN 5 AND 255 AND v BETWEEN 60 AND 250) AS hit FROM hsv GROUP BY id)
+SELECT id, ink, CASE WHEN ink > 0 THEN hit / ink ELSE 0.0 END AS share, ink >= 20 AND CASE WHEN ink > 0 THEN hit / ink ELSE 0.0 END > 0.6 AS coloured FROM s""")
+def colour_shares(spark, sf):
+    """Over wider ranges of hue and saturation, as the pictures have few strong colours."""
+    return raster.colour_shares(s.colour_pixels(spark, sf), ["id"], {"hue": (85, 172), "saturation": (5, 255), "value": (60, 250)})
+
+
+@query("""WITH c AS (SELECT vec_id AS id, vec_id % 4 AS x0, vec_id % 3 AS y0 FROM embeddings WHERE len(embedding) = 64), t AS (SELECT id, list(CAST(floor((greatest(-0.5, least(0.5, CAST(embedding[1 + 8 * (y0 + k // 3) + x0 + k % 3] AS DOUBLE))) + 0.5) * 255) AS BIGINT) ORDER BY k) AS v
+  FROM (SELECT vec_id AS id, embedding, vec_id % 4 AS x0, vec_id % 3 AS y0, unnest(generate_series(0, 5)) AS k FROM embeddings WHERE len(embedding) = 64) GROUP BY id)
+SELECT id, sha256(from_hex(list_aggregate(list_transform(v, lambda q: lpad(to_hex(q), 2, '0')), 'string_agg', ''))) AS image_hash FROM t""")
+def crop_hashes(spark, sf):
+    """Hashes of crops of three by two pixels (their bytes; no encoder is here)."""
+    boxes = "struct(cast(id % 4 as int) AS x0, cast(id % 3 as int) AS y0, cast(id % 4 + 3 as int) AS x1, cast(id % 3 + 2 as int) AS y1)"
+    return classify.with_hash(raster.crops(s.pictures(spark, sf).withColumn("box", F.expr(boxes)))).select("id", "image_hash")
+
+
 # Layout -----------------------------------------------------------------------------------------------
 
 _ROLE = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.ROLES.items()) + " END"
@@ -607,18 +826,87 @@ def wrap_candidates(spark, sf):
 
 # Documents --------------------------------------------------------------------------------------------
 
-_BAD = """CASE id % 9 WHEN 0 THEN '{"id": "b' || id || '", "page": 1, "type": "text", "bbox": [0.1, 0.2, 0.3, 0.4]}' WHEN 1 THEN '{"id": "b", "page": 0, "type": "text", "bbox": [0.1, 0.2, 0.3, 0.4]}'
-  WHEN 2 THEN '{"id": "b", "page": 1, "type": "poem", "bbox": [0.1, 0.2, 0.3]}' WHEN 3 THEN '{"id": "b", "page": 1, "type": "text", "bbox": [0.1, 0.2, 0.3, 1.4], "extra": 1}'
-  WHEN 4 THEN '{"page": 1, "type": "text", "bbox": [0, 0, 1, 1]}' WHEN 5 THEN '[1]' WHEN 6 THEN '{"id": "b", "page": 1, "type": "text", "bbox": [0, 0, 1, 1], "text": null}'
-  WHEN 7 THEN '{"id": "b", "page": 1, "type": "text", "bbox": [0, 0, 1, 1], "confidence": 1.5, "order": -1}' ELSE '{"id": "b", "page": 1, "type": "text", "bbox": [0, 0, 1, 1], "reflow": {"role": "x"}}' END"""
-_WRONG = "CASE id % 9 WHEN 0 THEN '' WHEN 1 THEN 'page' WHEN 2 THEN 'type,bbox size' WHEN 3 THEN 'unknown extra,bbox range' WHEN 4 THEN 'missing id' WHEN 5 THEN 'not an object' WHEN 6 THEN 'null text' WHEN 7 THEN 'order,confidence' ELSE 'role' END"
-
-
-@query(f"WITH {s.BLOCKS} SELECT id, {_WRONG} AS violations FROM blocks")
+_B = '{"id": "b", "page": 1, "type": "text", "bbox": [0, 0, 1, 1]'
+_PAGES = '{"schema_version": "1.0", "book_id": "k", "pages": '
+_BLOCKS = '{"schema_version": "1.0", "book_id": "k", "blocks": '
+_BOOK = '{"schema_version": "1.0", "id": "b-1", "title": "T", "page_count": 3, "created_at": "2024-01-01T00:00:00Z"'
+# Documents of each kind, in which {n} is a number from -2 to 4, and in SQL what is wrong with them.
+_CASES = [
+    ("block", _B + "}", "''"),
+    ("block", '{"id": "b", "page": {n}, "type": "text", "bbox": [0.1, 0.2, 0.3, 0.4], "order": {n}}', "CASE WHEN n < 0 THEN 'page,order' WHEN n < 1 THEN 'page' ELSE '' END"),
+    ("block", '{"id": "b", "page": "x", "type": "text", "bbox": [0, 0, 1, 1], "order": "y"}', "'type of page,type of order'"),
+    ("block", '{"id": "b", "page": 1.5, "type": "text", "bbox": [0, 0, 1, 1]}', "'type of page'"),
+    ("block", '{"id": "b", "page": 2.0, "type": "text", "bbox": [0, 0, 1, 1]}', "''"),
+    ("block", '{"id": 7, "page": true, "type": "text", "bbox": [0, 0, 1, 1]}', "'type of id,type of page'"),
+    ("block", '{"id": "b", "page": 1, "type": "poem", "bbox": [0.1, 0.2, 0.3]}', "'type,bbox size'"),
+    ("block", '{"id": "b", "page": 1, "type": "text", "bbox": [0.1, 0.2, 0.3, 1.4], "extra": 1, "a": 2}', "'unknown a,unknown extra,bbox range'"),
+    ("block", '{"page": 1, "type": "text", "bbox": [null, 0, 1, "1", 0]}', "'missing id,bbox size,bbox range'"),
+    ("block", "[1]", "'not an object'"),
+    ("block", _B + ', "text": null}', "'null text'"),
+    ("block", _B + ', "confidence": 1.5, "order": -1}', "'order,confidence'"),
+    ("block", _B + ', "reflow": {"role": "x"}}', "'reflow role'"),
+    ("block", _B + ', "reflow": {"role": "label", "align": "middle", "full_width": "yes", "zoom": 1}}', "'reflow unknown zoom,reflow type of full_width,reflow align'"),
+    ("block", _B + ', "lines": [{"bad": 1}]}', "'lines[0] missing bbox,lines[0] unknown bad'"),
+    ("block", _B + ', "lines": [{"bbox": [0, 0, 1, 1]}, {"bbox": [0, 0, {n}, 1], "text": 5}]}', "CASE WHEN n BETWEEN 0 AND 1 THEN '' ELSE 'lines[1] bbox range,' END || 'lines[1] type of text'"),
+    ("block", _B + ', "lines": 5, "latex": [], "reflow": "r"}', "'type of reflow,type of lines,type of latex'"),
+    ("block", '{"id": "b"', "'not an object'"),
+    ("block", _B + "} and more", "'not an object'"),
+    ("block", "", "'not an object'"),
+    ("blocks", '{"schema_version": "1", "book_id": "k", "blocks": []}', "'schema_version'"),
+    ("blocks", _BLOCKS + "[" + _B + '}, {"id": "c", "page": {n}, "type": "poem", "bbox": [0, 0, 1, 1]}, 7]}', "CASE WHEN n < 1 THEN 'blocks[1] page,' ELSE '' END || 'blocks[1] type,blocks[2] not an object'"),
+    ("blocks", _BLOCKS + "{}}", "'type of blocks'"),
+    ("pages", _PAGES + '[{"nonsense": 1}]}', "'pages[0] missing number,pages[0] missing width_px,pages[0] missing height_px,pages[0] unknown nonsense'"),
+    ("pages", _PAGES + '[{"number": {n}, "width_px": 0, "height_px": 5, "rotation": 45}]}', "CASE WHEN n < 1 THEN 'pages[0] number,' ELSE '' END || 'pages[0] width_px,pages[0] rotation'"),
+    ("pages", _PAGES + '[{"number": 1, "width_px": 2, "height_px": 5, "rotation": 90, "deskew_angle": "1", "source_crop": [0, 1], "block_order": ["a", 1], "problems": [{"label": "x"}]}]}',
+     "'pages[0] type of deskew_angle,pages[0] source_crop size,pages[0] type of block_order[1],pages[0] problems[0] missing id'"),
+    ("pages", '{"book_id": "k"}', "'missing schema_version,missing pages'"),
+    ("book", _BOOK + ', "tags": ["a"], "rendering": {"dpi": 150, "image_format": "png"}, "chapters": [{"id": "c", "title": "t", "start_page": 1, "level": 0}]}', "''"),
+    ("book", '{"schema_version": "1.0", "id": "Bad_Id", "title": "", "page_count": {n}, "cover_page": {n}, "created_at": 5}', "'id,title' || CASE WHEN n < 0 THEN ',page_count' ELSE '' END || CASE WHEN n < 1 THEN ',cover_page' ELSE '' END || ',type of created_at'"),
+    ("book", _BOOK + ', "rendering": {"dpi": 0, "image_format": "gif", "x": 1}, "chapters": [{"id": "c", "title": "t", "order": -1}], "tags": ["a", 2]}',
+     "'rendering unknown x,rendering dpi,rendering image_format,chapters[0] missing start_page,chapters[0] order,type of tags[1]'"),
+]
+
+
+def _case_sql(what: int) -> str:
+    return f"CASE id % {len(_CASES)} " + " ".join(f"WHEN {i} THEN " + (f"'{c[0]}'" if what == 0 else c[2]) for i, c in enumerate(_CASES)) + " END"
+
+
+@query(f"WITH {s.BLOCKS} SELECT id, {_case_sql(0)} AS kind, {_case_sql(2)} AS violations FROM (SELECT id, id % 7 - 2 AS n FROM blocks)")
 def schema_violations(spark, sf):
-    """V1."""
-    text = s.blocks(spark, sf).select("id", F.expr(_BAD).alias("j"))
-    return text.select("id", F.array_join(docs.violations(F.col("j"), "block"), ",").alias("violations"))
+    """V1: documents that break each rule of each kind."""
+    place = F.col("id") % len(_CASES)
+    text = F.element_at(F.array(*(F.lit(c[1]) for c in _CASES)), (place + 1).cast("int"))
+    docs_ = s.blocks(spark, sf).select("id", place.alias("i"), F.replace(text, F.lit("{n}"), (F.col("id") % 7 - 2).cast("string")).alias("j"))
+    found = None
+    for kind in dict.fromkeys(c[0] for c in _CASES):
+        own = docs_.filter(F.col("i").isin([i for i, c in enumerate(_CASES) if c[0] == kind]))
+        own = own.select("id", F.lit(kind).alias("kind"), F.array_join(docs.violations(F.col("j"), kind), ",").alias("violations"))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+@query(f"WITH {s.BLOCKS} SELECT id, CASE WHEN id % 5 IN (0, 1) OR id % 3 = 0 THEN NULL ELSE page END AS last_page FROM blocks")
+def last_page_roundtrip(spark, sf):
+    """Pages to documents and back; some have no document, a bad one, or one without a page."""
+    text = F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 5 == 1, F.lit("{page")).otherwise(docs.last_page_text(F.when(F.col("id") % 3 != 0, F.col("page"))))
+    return s.blocks(spark, sf).select("id", docs.last_page(text.cast("string")).alias("last_page"))
+
+
+@query(f"""WITH {s.BLOCKS} SELECT page, max(w) AS widest, bool_or(x > 700) AS any_right, bool_or(w <> h) AS any_unlike, list_aggregate(list(id ORDER BY ord)[1:3], 'string_agg', ',') AS first_ids, list_aggregate(flatten(list([x, x + w] ORDER BY ord)), 'string_agg', ',') AS ends FROM blocks GROUP BY page""")
+def array_functions(spark, sf):
+    """AR1: greatest, any, compared in pairs, a slice, nested lists in one."""
+    b = s.blocks(spark, sf).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "x", "w", "h"))).alias("b"))
+    of = lambda name: F.transform("b", lambda r: r[name])
+    unlike = F.exists(F.zip_with(of("w"), of("h"), lambda w, h: w != h), lambda v: v)
+    ends = F.flatten(F.transform("b", lambda r: F.array(r["x"], r["x"] + r["w"])))
+    return b.select("page", F.array_max(of("w")).alias("widest"), F.exists(of("x"), lambda x: x > 700).alias("any_right"), unlike.alias("any_unlike"), F.array_join(F.slice(of("id"), 1, 3), ",").alias("first_ids"), F.array_join(ends, ",").alias("ends"))
+
+
+@query("SELECT event_id, CAST(round_even(event_id / 4 - 50, 0) AS BIGINT) AS even, CAST(floor(event_id / 4 - 50 + 0.5) AS BIGINT) AS up, CAST(trunc(event_id / 4 - 50) AS BIGINT) AS cut FROM events")
+def rounding(spark, sf):
+    """M1: quarters, so that halves are met, below and above 0."""
+    v = F.col("event_id") / 4 - 50
+    return s.table(spark, sf, "events").select("event_id", geom.half_even(v).alias("even"), geom.half_up(v).alias("up"), geom.truncated(v).alias("cut"))
 
 
 @query(f"WITH {s.BLOCKS} SELECT page, ord AS key, CASE WHEN id % 3 = 0 THEN 'done' ELSE 'pending' END AS value FROM blocks")

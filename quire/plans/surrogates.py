@@ -90,17 +90,17 @@ LEDGER = """entries AS (
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OCR anchors from parts, some of which jump back."""
-    p = table(spark, sf_dir, "part").filter("p_partkey % 3 <> 0 AND p_partkey <= 3000")
-    raw = p.selectExpr("cast(p_partkey + 1 as int) AS answer_page", "cast(10 + p_partkey div 8 - CASE WHEN p_partkey % 13 = 5 THEN 40 ELSE 0 END as int) AS a", "cast(p_partkey % 5 as int) AS n")
-    return raw.selectExpr("answer_page", "a", "a + n AS b").filter("a BETWEEN 10 AND 295")
+    """OCR anchors of books of 3,000 parts each, some of which jump back: book, answer_page, a, b."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey div 3000 AS book", "p_partkey % 3000 AS k").filter("k % 3 <> 0")
+    raw = p.selectExpr("book", "cast(k + 1 as int) AS answer_page", "cast(10 + k div 8 - CASE WHEN k % 13 = 5 THEN 40 ELSE 0 END as int) AS a", "cast(k % 5 as int) AS n")
+    return raw.selectExpr("book", "answer_page", "a", "a + n AS b").filter("a BETWEEN 10 AND 295")
 
 
 ANCHORS = """raw AS (
-  SELECT * FROM (SELECT p_partkey + 1 AS answer_page, 10 + p_partkey // 8 - CASE WHEN p_partkey % 13 = 5 THEN 40 ELSE 0 END AS a, 10 + p_partkey // 8 - CASE WHEN p_partkey % 13 = 5 THEN 40 ELSE 0 END + p_partkey % 5 AS b
-    FROM part WHERE p_partkey % 3 <> 0 AND p_partkey <= 3000) WHERE a BETWEEN 10 AND 295
+  SELECT * FROM (SELECT book, k + 1 AS answer_page, 10 + k // 8 - CASE WHEN k % 13 = 5 THEN 40 ELSE 0 END AS a, 10 + k // 8 - CASE WHEN k % 13 = 5 THEN 40 ELSE 0 END + k % 5 AS b
+    FROM (SELECT p_partkey // 3000 AS book, p_partkey % 3000 AS k FROM part) WHERE k % 3 <> 0) WHERE a BETWEEN 10 AND 295
 ), kept AS (
-  SELECT answer_page, a, b FROM (SELECT *, max(a) OVER (ORDER BY answer_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM raw) WHERE a >= coalesce(m, 0)
+  SELECT book, answer_page, a, b FROM (SELECT *, max(a) OVER (PARTITION BY book ORDER BY answer_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM raw) WHERE a >= coalesce(m, 0)
 )"""
 
 
@@ -115,10 +115,39 @@ _REPLY = """CASE event_id % 8 WHEN 0 THEN 'no braces here' WHEN 1 THEN concat('s
 REPLIES = f"replies AS (SELECT event_id AS id, {_REPLY.replace('as string', 'as varchar')} AS raw FROM events)"
 
 
+_HEIGHT = "CASE WHEN n % 11 = 5 THEN 14 ELSE 10 END"
+
+
 def text_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run-length rows (page, y, x0, x1) of documents' lines, of which some are left out to make gaps; each character is 10 wide, each line 12 high."""
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS page", "posexplode(split(text, '\\n')) AS (row, line)").filter("row < 60 AND length(line) % 3 <> 0")
-    return docs.selectExpr("page", "explode(sequence(cast(row * 12 as bigint), cast(row * 12 + 8 as bigint))) AS y", "cast(0 as bigint) AS x0", "cast(least(length(line), 80) * 10 as bigint) AS x1").filter("x1 > 0")
+    """Run-length rows (page, y, x0, x1, tint) of all of documents' lines, of which a third is left out to make gaps.
+
+    A character is 10 wide; a line takes 18 rows, of which 11 have ink, or 15 of a tall one. Some lines begin with a label, before a
+    wide gap or in the colour of problem numbers (tint).
+    """
+    docs = _lines(spark, sf_dir).filter("n % 3 <> 0")
+    run = lambda x0, x1, tint=0: F.struct(F.lit(x0).cast("long").alias("x0"), x1.cast("long").alias("x1"), F.lit(tint).cast("long").alias("tint"))
+    n, middle, label = F.col("n"), F.expr("10 * (n div 2)"), F.lit(30)
+    gap, coloured = F.array(run(0, label), run(60, middle), F.struct((middle + 10).alias("x0"), (10 * n).alias("x1"), F.lit(0).cast("long").alias("tint"))), F.array(run(0, label, 30), run(40, 10 * n))
+    spans = F.when((n >= 30) & (n % 5 == 1), gap).when((n >= 30) & (n % 5 == 2), coloured).otherwise(F.array(run(0, 10 * n)))
+    runs = docs.select("page", "row", "n", F.inline(spans))
+    return runs.selectExpr("page", f"explode(sequence(row * 18, row * 18 + {_HEIGHT})) AS y", "x0", "x1", "tint")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS page", "posexplode(split(text, '\\n')) AS (row, line)").selectExpr("page", "cast(row AS bigint) AS row", "cast(length(line) AS bigint) AS n")
+
+
+def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page, width, height: of the text's longest line and of all its lines."""
+    return _lines(spark, sf_dir).groupBy("page").agg((10 * F.max("n")).alias("width"), (18 * (F.max("row") + 1)).alias("height"))
+
+
+GRID = f"""r AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents WHERE text IS NOT NULL),
+size AS (SELECT page, 10 * max(length(line)) AS width, 18 * (max(row) + 1) AS height FROM r GROUP BY page), kept AS (SELECT page, row, CAST(length(line) AS BIGINT) AS n FROM r WHERE length(line) % 3 <> 0),
+lruns AS (SELECT page, row, n, 0 AS x0, CASE WHEN n >= 30 AND n % 5 IN (1, 2) THEN 30 ELSE 10 * n END AS x1, CASE WHEN n >= 30 AND n % 5 = 2 THEN 30 ELSE 0 END AS tint FROM kept
+  UNION ALL SELECT page, row, n, 60, 10 * (n // 2), 0 FROM kept WHERE n >= 30 AND n % 5 = 1 UNION ALL SELECT page, row, n, 10 * (n // 2) + 10, 10 * n, 0 FROM kept WHERE n >= 30 AND n % 5 = 1
+  UNION ALL SELECT page, row, n, 40, 10 * n, 0 FROM kept WHERE n >= 30 AND n % 5 = 2),
+grid AS (SELECT page, unnest(generate_series(row * 18, row * 18 + {_HEIGHT})) AS y, x0, x1, tint FROM lruns)"""
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,3 +157,21 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RASTER = "pixels AS (SELECT vec_id AS id, CAST(floor((greatest(-0.5, least(0.5, CAST(v AS DOUBLE))) + 0.5) * 255) AS BIGINT) AS level FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings))"
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id, width, height, pixels: embeddings as pictures of 8 by 8 grey levels in reading order."""
+    level = lambda v: F.floor((F.greatest(F.lit(-0.5), F.least(F.lit(0.5), v.cast("double"))) + 0.5) * 255).cast("int")
+    v = table(spark, sf_dir, "embeddings").filter("size(embedding) = 64")
+    return v.select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("embedding", level).alias("pixels"))
+
+
+def colour_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id, p, blue, green, red: each pixel's channels are the levels at p, p + 21 and p + 42."""
+    at = lambda k: F.get("pixels", (F.col("p") + k) % 64).alias
+    each = pictures(spark, sf_dir).select("id", "pixels", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    return each.select("id", "p", at(0)("blue"), at(21)("green"), at(42)("red"))
+
+
+PICTURES = "px AS (SELECT vec_id AS id, i - 1 AS p, (i - 1) % 8 AS x, (i - 1) // 8 AS y, CAST(floor((greatest(-0.5, least(0.5, CAST(embedding[i] AS DOUBLE))) + 0.5) * 255) AS BIGINT) AS level FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS i FROM embeddings WHERE len(embedding) = 64))"
+COLOURS = f"{PICTURES}, colours AS (SELECT b.id, b.p, b.x, b.y, b.level AS blue, g.level AS green, r.level AS red FROM px b JOIN px g ON g.id = b.id AND g.p = (b.p + 21) % 64 JOIN px r ON r.id = b.id AND r.p = (b.p + 42) % 64)"

@@ -1,16 +1,22 @@
 """Book documents: S2-S8, S11, S12, V1, E1-E7, MP1.
 
 A document's schema is fixed; validation adds the violations of each document as an array of texts, and
-writers refuse documents that have any.
+writers refuse documents that have any. A document is a file of its own.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import ROLES, TYPES
 
+# The documents' properties and their types.
 BOOK = (
     "schema_version string, id string, title string, author string, subject string, source_filename string, page_count int, cover_page int, created_at string, updated_at string, "
     "rendering struct<dpi:int,default_width_px:int,image_format:string>, chapters array<struct<id:string,title:string,start_page:int,end_page:int,level:int,order:int>>, tags array<string>"
@@ -27,52 +33,94 @@ PAGES = f"schema_version string, book_id string, pages array<struct<{PAGE.replac
 BLOCKS = f"schema_version string, book_id string, blocks array<struct<{BLOCK.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double').replace(' array', ':array').replace(' struct', ':struct')}>>"
 SCHEMAS = {"book": BOOK, "pages": PAGES, "blocks": BLOCKS}
 
-# Keys that each object may have, and those that it must have.
-KEYS = {
-    "book": ["schema_version", "id", "title", "author", "subject", "source_filename", "page_count", "cover_page", "created_at", "updated_at", "rendering", "chapters", "tags"],
-    "pages": ["schema_version", "book_id", "pages"],
-    "blocks": ["schema_version", "book_id", "blocks"],
-    "block": ["id", "page", "type", "bbox", "order", "confidence", "problem_id", "reflow", "lines", "image", "text", "latex"],
+_TEXT, _TRUTH, _SHARE, _NUMBER = {"type": "string"}, {"type": "boolean"}, {"type": "number", "minimum": 0, "maximum": 1}, {"type": "number"}
+_FROM_0, _FROM_1 = {"type": "integer", "minimum": 0}, {"type": "integer", "minimum": 1}
+_VERSION = {"type": "string", "pattern": r"^\d+\.\d+$"}
+_BOX = {"type": "array", "items": _SHARE, "size": 4}
+
+
+def _list(items: dict) -> dict:
+    return {"type": "array", "items": items}
+
+
+def _object(required: str, **properties: dict) -> dict:
+    return {"type": "object", "required": required.split(), "properties": properties}
+
+
+# What each kind of document must, may and must not hold; no object may have other properties.
+RULES = {
+    "book": _object(
+        "schema_version id title page_count created_at", schema_version=_VERSION, id={"type": "string", "pattern": r"^[a-z0-9][a-z0-9-]*$"}, title={"type": "string", "shortest": 1},
+        author=_TEXT, subject=_TEXT, source_filename=_TEXT, page_count=_FROM_0, cover_page=_FROM_1, created_at=_TEXT, updated_at=_TEXT,
+        rendering=_object("", dpi=_FROM_1, default_width_px=_FROM_1, image_format={"type": "string", "enum": ["webp", "png", "jpeg"]}),
+        chapters=_list(_object("id title start_page", id=_TEXT, title=_TEXT, start_page=_FROM_1, end_page=_FROM_1, level=_FROM_0, order=_FROM_0)), tags=_list(_TEXT),
+    ),
+    "page": _object(
+        "number width_px height_px", number=_FROM_1, source_number=_FROM_1, chapter_id=_TEXT, width_px=_FROM_1, height_px=_FROM_1, rotation={"type": "integer", "enum": [0, 90, 180, 270]}, deskew_angle=_NUMBER,
+        source_crop=_BOX, block_order=_list(_TEXT), problems=_list(_object("id", id=_TEXT, label=_TEXT, block_ids=_list(_TEXT), bbox=_BOX)), thumbnail=_TEXT, image=_TEXT,
+    ),
+    "block": _object(
+        "id page type bbox", id=_TEXT, page=_FROM_1, type={"type": "string", "enum": TYPES}, bbox=_BOX, order=_FROM_0, confidence=_SHARE, problem_id=_TEXT,
+        reflow=_object("", role={"type": "string", "enum": list(ROLES.values())}, full_width=_TRUTH, keep_aspect=_TRUTH, align={"type": "string", "enum": ["left", "center", "right"]}, break_before=_TRUTH, attach_to=_TEXT),
+        lines=_list(_object("bbox", bbox=_BOX, text=_TEXT)), image=_TEXT, text=_TEXT, latex=_TEXT,
+    ),
 }
-REQUIRED = {"book": ["schema_version", "id", "title", "page_count", "created_at"], "pages": ["schema_version", "book_id", "pages"], "blocks": ["schema_version", "book_id", "blocks"], "block": ["id", "page", "type", "bbox"]}
+RULES["pages"] = _object("schema_version book_id pages", schema_version=_VERSION, book_id=_TEXT, pages=_list(RULES["page"]))
+RULES["blocks"] = _object("schema_version book_id blocks", schema_version=_VERSION, book_id=_TEXT, blocks=_list(RULES["block"]))
+
+
+def _is(value: object, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        return not isinstance(value, bool) and isinstance(value, (int, float)) and (kind == "number" or isinstance(value, int) or value.is_integer())
+    return isinstance(value, {"string": str, "boolean": bool, "array": list, "object": dict}[kind])
+
+
+def _found(value: object, rule: dict, name: str, path: str) -> list[str]:
+    """What is wrong with a value; name: its property, path: where the object or list that holds it stands."""
+    if value is None:
+        return [f"{path}null {name}"]
+    if not _is(value, rule["type"]):
+        return [f"{path}type of {name}" if name else f"{path}not an object"]
+    if rule["type"] == "object":
+        inner = f"{path}{name} " if name else path
+        missing = [f"{inner}missing {k}" for k in rule["required"] if k not in value]
+        unknown = [f"{inner}unknown {k}" for k in sorted(value) if k not in rule["properties"]]
+        return missing + unknown + [x for k, r in rule["properties"].items() if k in value for x in _found(value[k], r, k, inner)]
+    if rule["type"] == "array":
+        if "size" not in rule:
+            return [x for i, v in enumerate(value) for x in _found(v, rule["items"], "" if rule["items"]["type"] == "object" else f"{name}[{i}]", f"{path}{name}[{i}] " if rule["items"]["type"] == "object" else path)]
+        size = [f"{path}{name} size"] if len(value) != rule["size"] else []
+        return size + ([f"{path}{name} range"] if any(_found(v, rule["items"], name, path) for v in value) else [])
+    wrong = ("enum" in rule and value not in rule["enum"]) or ("pattern" in rule and not re.search(rule["pattern"], value)) or len(str(value)) < rule.get("shortest", 0)
+    return [f"{path}{name}"] if wrong or ("minimum" in rule and value < rule["minimum"]) or ("maximum" in rule and value > rule["maximum"]) else []
 
 
 def violations(text: Column, kind: str) -> Column:
-    """V1: an array of what is wrong with a JSON text of this kind ("book", "pages", "blocks" or one "block"); empty if nothing is."""
-    keys = F.json_object_keys(text)
-    one = lambda name: F.get_json_object(text, f"$.{name}")
-    number = lambda name: one(name).try_cast("double")
-    missing = F.transform(F.array_except(F.array(*map(F.lit, REQUIRED[kind])), F.coalesce(keys, F.array().cast("array<string>"))), lambda k: F.concat(F.lit("missing "), k))
-    unknown = F.transform(F.array_sort(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*map(F.lit, KEYS[kind])))), lambda k: F.concat(F.lit("unknown "), k))
-    rules: list[tuple[Column, str]] = []
-    if kind != "block":
-        rules.append((one("schema_version").isNotNull() & ~one("schema_version").rlike(r"^\d+\.\d+$"), "schema_version"))
-    if kind == "book":
-        rules += [(number("page_count") < 0, "page_count"), (number("cover_page") < 1, "cover_page"), (F.length(one("title")) < 1, "title"), (one("id").isNotNull() & ~one("id").rlike("^[A-Za-z0-9_-]+$"), "id")]
-    if kind == "block":
-        box = F.from_json(one("bbox"), "array<double>")
-        role = F.get_json_object(text, "$.reflow.role")
-        rules += [
-            (one("type").isNotNull() & ~one("type").isin(TYPES), "type"), (number("page") < 1, "page"), (number("order") < 0, "order"), (~number("confidence").between(0, 1), "confidence"),
-            (one("bbox").isNotNull() & (F.coalesce(F.size(box), F.lit(0)) != 4), "bbox size"), (F.coalesce(F.exists(box, lambda v: v.isNull() | (v < 0) | (v > 1)), F.lit(False)), "bbox range"),
-            (role.isNotNull() & ~role.isin(list(ROLES.values())), "role"),
-        ]
-    # A JSON null is there but has no value: no property allows it.
-    for name in KEYS[kind]:
-        rules.append((F.array_contains(F.coalesce(keys, F.array().cast("array<string>")), name) & one(name).isNull(), f"null {name}"))
-    broken = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for bad, name in rules)))
-    return F.when(keys.isNull(), F.array(F.lit("not an object"))).otherwise(F.concat(missing, unknown, broken))
+    """V1: an array of what is wrong with a JSON text of this kind ("book", "pages", "blocks", one "page" or one "block"); empty if nothing is.
+
+    Each text is parsed once. A violation names the property, after the objects and lists that it stands in; null and bad
+    texts, texts after the document, and what is no object are "not an object". A list of numbers has one entry for its size
+    and one for its values.
+    """
+
+    @F.arrow_udf("array<string>")
+    def check(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            try:
+                value = json.loads(t) if t is not None else None
+            except ValueError:
+                value = None
+            out.append(_found(value, RULES[kind], "", "") if isinstance(value, dict) else ["not an object"])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return check(text)
 
 
 def read_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Path, the document's fields, and violations. Each file is one JSON document; violations of blocks come with their place."""
+    """Path, the document's fields, and violations, of each file; one without a document gives null fields."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    found = violations(F.col("value"), kind)
-    if kind == "blocks":
-        items = F.from_json(F.get_json_object("value", "$.blocks"), "array<string>")
-        inner = F.flatten(F.transform(items, lambda b, i: F.transform(violations(b, "block"), lambda v: F.concat(F.lit("blocks["), i.cast("string"), F.lit("] "), v))))
-        found = F.concat(found, F.coalesce(inner, F.array().cast("array<string>")))
-    return raw.select("path", F.from_json("value", SCHEMAS[kind]).alias("d"), found.alias("violations")).select("path", "d.*", "violations")
+    return raw.select("path", F.from_json("value", SCHEMAS[kind]).alias("d"), violations(F.col("value"), kind).alias("violations")).select("path", "d.*", "violations")
 
 
 def valid(documents: DataFrame) -> DataFrame:
@@ -84,12 +132,18 @@ def valid(documents: DataFrame) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str, kind: str, mode: str = "overwrite") -> None:
-    """A JSON document a line, optional fields without value left out, after validation."""
-    text = F.to_json(F.struct(*(c for c in documents.columns)))
-    bad = documents.select(violations(text, kind).alias("v")).filter(F.size("v") > 0).head(1)
+    """A file for each document, as JSON, optional fields without value left out; nothing is written if any has violations."""
+    text = documents.select(F.to_json(F.struct(*(c for c in documents.columns))).alias("value"))
+    bad = text.select(violations(F.col("value"), kind).alias("v")).filter(F.size("v") > 0).head(1)
     if bad:
         raise ValueError(", ".join(bad[0].v))
-    documents.select(text.alias("value")).write.mode(mode).text(path)
+    text.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+
+
+def book_documents(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """Folder and document of all folders that have one of this kind."""
+    found = read_documents(spark, f"{root}/*/{kind}.json", kind)
+    return found.select(F.regexp_extract("path", rf"([^/]+)/{kind}\.json$", 1).alias("folder"), *found.columns[1:])
 
 
 def ensure_book(book: DataFrame, path: str) -> None:
@@ -108,13 +162,50 @@ def map_text(rows: Column) -> Column:
     return F.to_json(F.map_from_entries(F.transform(rows, lambda e: F.struct(e["key"].cast("string"), e["value"]))))
 
 
+def last_page(text: Column) -> Column:
+    """The page of a JSON text {"page": n}; null where there is no text or no such page."""
+    return F.get_json_object(text, "$.page").try_cast("int")
+
+
+def last_page_text(page: Column) -> Column:
+    """S6."""
+    return F.to_json(F.struct(page.alias("page")))
+
+
+def read_last_page(spark: SparkSession, path: str) -> int | None:
+    """Null without a file."""
+    try:
+        return spark.read.text(path, wholetext=True).select(last_page(F.col("value")).alias("p")).first().p
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_last_page(spark: SparkSession, page: int, path: str) -> None:
+    """S6."""
+    spark.range(1).select(last_page_text(F.lit(page)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+# Endings of page pictures, the one to be preferred first.
+ENDINGS = ["webp", "png", "jpg"]
+
+
 def first_image(pages: DataFrame, files: DataFrame) -> DataFrame:
-    """For each page the file that is there first of webp, png, jpg; null without any. files: page, ending."""
-    order = F.when(F.col("ending") == "webp", 0).when(F.col("ending") == "png", 1).when(F.col("ending") == "jpg", 2)
-    best = files.withColumn("__o", order).filter("__o is not null").groupBy("page").agg(F.min_by("ending", "__o").alias("ending"))
+    """For each page the ending of the file to be taken; null without any. files: page, ending."""
+    order = F.array_position(F.array(*map(F.lit, ENDINGS)), F.col("ending"))
+    best = files.withColumn("__o", order).filter("__o > 0").groupBy("page").agg(F.min_by("ending", "__o").alias("ending"))
     return pages.join(best, "page", "left")
 
 
+def page_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Page, ending, content of the picture of each page in a folder, files named like 0007.png; only the files taken are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(ENDINGS) + "}").load(folder)
+    named = files.select(F.regexp_extract("path", r"(\d+)\.(\w+)$", 1).try_cast("int").alias("page"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("ending"), "path", "content").filter("page is not null")
+    chosen = first_image(named.select("page").distinct(), named.select("page", "ending"))
+    return named.join(chosen, ["page", "ending"], "left_semi").select("page", "ending", "content")
+
+
 def book_index(spark: SparkSession, root: str) -> DataFrame:
     """Folders that have a book.json, by path."""
     books = spark.read.schema(BOOK).option("multiLine", True).json(f"{root}/*/book.json")

@@ -31,26 +31,22 @@ def test_iou_properties_and_rounding(spark):
     assert [r[0] for r in df.select(geom.round4(F.col("v"))).collect()] == [round(v, 4) for v in values]
 
 
-def test_greedy_match_by_hand(spark):
+def test_greedy_match_holds_what_it_promises(spark):
     a, e = surrogates.crowded(spark, "/root/testdata/sf0.001")
-    pages = {}
-    for side, df in enumerate((a, e)):
-        for r in df.collect():
-            pages.setdefault(r.page, ([], []))[side].append(r)
-    want = set()
-    for page, (autos, edits) in pages.items():
-        used = set()
-        for x in sorted(autos, key=lambda r: r.ord):
-            best, score = None, 0.0
-            for y in sorted(edits, key=lambda r: r.ord):
-                v = iou((x.x, x.y, x.w, x.h), (y.x, y.y, y.w, y.h))
-                if y.id not in used and v > score:
-                    best, score = y.id, v
-            if score >= 0.5:
-                used.add(best)
-                want.add((page, x.id, best))
-    got = {(r.page, r.a_id, r.e_id) for r in diff.greedy_match(a, e).collect()}
-    assert got == want and want
+    autos, edits = ({r.id: r for r in df.collect()} for df in (a, e))
+    got = diff.greedy_match(a, e).collect()
+    taken = {r.e_id: r.a_id for r in got}
+    of = {r.a_id: r.e_id for r in got}
+    assert got and len(taken) == len(of) == len(got)
+    box = lambda r: (r.x, r.y, r.w, r.h)
+    by_page = {}
+    for r in edits.values():
+        by_page.setdefault(r.page, []).append(r)
+    for x in autos.values():
+        # What was free at x's turn: taken by a later block, or by none.
+        free = [y for y in by_page[x.page] if y.id not in taken or autos[taken[y.id]].ord >= x.ord]
+        best = max(((iou(box(x), box(y)), -y.ord, y.id) for y in free), default=(0.0, 0, None))
+        assert of.get(x.id) == (best[2] if best[0] >= 0.5 else None)
 
 
 def test_order_is_a_permutation_and_places_attached(spark):
@@ -85,53 +81,81 @@ def test_interpolation_like_a_loop(spark):
     assert {r.answer_page for r in answers.interpolated(spark.createDataFrame([], "k int, v int"), 50).collect()} == {None}
 
 
-def blocks_by_hand(rows):
-    """R7 for one page of run-length rows, 800 by 720."""
-    mask = np.zeros((720, 800), bool)
-    for _, y, x0, x1 in rows:
-        mask[y, x0:x1] = True
+def masks(seed, n=12, height=14, width=23, share=0.4):
+    rng = np.random.default_rng(seed)
+    return {i: rng.random((height, width)) < share for i in range(n)}
 
-    def runs(on):
-        edge = np.diff(np.concatenate(([0], on.astype(int), [0])))
-        return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
-    columns = []
-    for a, b in runs(~(mask.sum(0) < max(2, 720 * 0.004))):
-        if columns and a - columns[-1][1] < 20:
-            columns[-1] = (columns[-1][0], b)
-        else:
-            columns.append((a, b))
-    bands = {c: runs(mask[:, c[0] : c[1]].sum(1) > 2) for c in columns}
-    heights = [b - a for v in bands.values() for a, b in v]
-    gap = max(6, int((float(np.median(heights)) if heights else 20.0) * 0.9))
-    out = []
-    for (c0, c1), v in bands.items():
-        own = int(gap * 2.2) if c0 / 800 > 0.65 else gap
-        groups = []
-        for a, b in (x for x in v if x[1] - x[0] >= 3):
-            if groups and a - groups[-1][1] <= own:
-                groups[-1] = (groups[-1][0], b)
-            else:
-                groups.append((a, b))
-        for y0, y1 in groups:
-            xs = np.flatnonzero(mask[y0:y1, c0:c1].any(0))
-            x0, x1 = c0 + int(xs[0]), c0 + int(xs[-1]) + 1
-            w, h = x1 - x0, y1 - y0
-            if not (w < 7 or h < 7 or w * h < 400 or (x0 / 800 > 0.9 and y1 / 720 < 0.35)):
-                out.append((max(0, x0 - 3), max(0, y0 - 3), min(800, x1 + 3), min(720, y1 + 3)))
-    return out
-
-
-def test_detect_blocks_by_hand(spark):
-    grid = surrogates.text_grid(spark, "/root/testdata/sf0.001").filter("page < 60")
-    pages = {}
-    for r in grid.collect():
-        pages.setdefault(r.page, []).append(tuple(r))
+def run_rows(spark, pages):
+    rows = []
+    for page, mask in pages.items():
+        for y, line in enumerate(mask):
+            edge = np.diff(np.concatenate(([0], line.astype(int), [0])))
+            rows += [(page, y, a, z, z - a if a % 2 else 0) for a, z in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+    return spark.createDataFrame(rows, "page long, y long, x0 long, x1 long, tint long")
+
+
+def test_density_and_row_bands_of_masks(spark):
+    pages = masks(3)
+    rows = run_rows(spark, pages)
     got = {}
-    for r in catalog.QUERIES["detect_blocks"](spark, "/root/testdata/sf0.001").filter("page < 60").collect():
-        got.setdefault(r.page, []).append((r.x0, r.y0, r.x1, r.y1))
-    for page, rows in pages.items():
-        assert sorted(got.get(page, [])) == sorted(blocks_by_hand(rows)), page
+    for r in islands.density(rows, ["page"]).collect():
+        got.setdefault(r.page, np.zeros(23, int))[r.p0 : r.p1] = r.d
+    assert all((got[p] == m.sum(0)).all() for p, m in pages.items())
+    bands = {p: np.zeros(14, bool) for p in pages}
+    for r in islands.row_bands(rows, ["page"], 8).collect():
+        assert not bands[r.page][max(0, r.p0 - 1) : r.p1 + 1].any()
+        bands[r.page][r.p0 : r.p1] = True
+    assert all((bands[p] == (m.sum(1) > 8)).all() for p, m in pages.items())
+
+
+def test_run_components_like_flooding(spark):
+    pages = masks(4)
+    got = {}
+    for r in islands.run_components(run_rows(spark, pages), ["page"], ["page"]).collect():
+        got.setdefault(r.page, []).append((r.x0, r.y0, r.w, r.h, r.area))
+    for p, m in pages.items():
+        want = []
+        for part in flood(m):
+            y, x = zip(*part, strict=True)
+            want.append((min(x), min(y), max(x) - min(x) + 1, max(y) - min(y) + 1, len(part)))
+        assert sorted(got[p]) == sorted(want)
+
+
+def test_rows_in_boxes_and_spans(spark, monkeypatch):
+    monkeypatch.setattr(islands, "STRETCH", 4)
+    pages = masks(5, n=4)
+    rng = random.Random(2)
+    boxes = [(p, b, x, y, x + rng.randint(0, 15), y + rng.randint(0, 12)) for p in pages for b in range(6) for x, y in [(rng.randint(0, 20), rng.randint(0, 12))]]
+    got = {}
+    for r in islands.in_boxes(run_rows(spark, pages), spark.createDataFrame(boxes, "page long, box long, x0 long, y0 long, x1 long, y1 long"), ["page"], ["box"]).collect():
+        got.setdefault((r.page, r.box), set()).update((r.y, x) for x in range(r.x0, r.x1))
+    for p, b, x0, y0, x1, y1 in boxes:
+        assert got.get((p, b), set()) == {(y, x) for y, x in zip(*np.nonzero(pages[p]), strict=True) if y0 <= y < y1 and x0 <= x < x1}
+    rows = spark.createDataFrame([(1, v, "k") for v in range(12)] + [(2, 3, "k")], "page int, y int, p string")
+    spans = spark.createDataFrame([(1, 2, 4), (1, 4, 5), (1, 9, 20), (3, 0, 99)], "page int, p0 int, p1 int")
+    found = {(r.page, r.y): (r.p0, r.p1) for r in islands.within(rows, spans, ["page"], "y").collect()}
+    assert found == {(1, v): s for v, s in [(2, (2, 4)), (3, (2, 4)), (4, (4, 5)), (9, (9, 20)), (10, (9, 20)), (11, (9, 20))]}
+
+
+def test_blocks_cut_as_the_rules_say(spark):
+    rows = []
+
+    def ink(page, y0, y1, *spans, tint=()):
+        rows.extend((page, y, a, z, z - a if (a, z) in tint else 0) for y in range(y0, y1) for a, z in spans)
+
+    ink(1, 10, 22, (100, 140), (180, 220), (226, 300), (306, 400))  # a label before a wide gap
+    ink(1, 28, 40, (100, 400))
+    ink(2, 10, 22, (100, 140), (146, 400), tint=[(100, 140)])  # a coloured label before a narrow gap
+    ink(3, 10, 20, (100, 400))  # two lines, then a tall one
+    ink(3, 25, 35, (100, 380))
+    ink(3, 40, 60, (140, 300))
+    ink(4, 10, 14, (100, 400))  # debris
+    ink(4, 50, 62, (960, 990))  # the chapter badge
+    size = spark.createDataFrame([(p, 1000, 1000) for p in range(1, 6)], "page long, width long, height long")
+    rle = spark.createDataFrame(rows, "page long, y long, x0 long, x1 long, tint long")
+    got = sorted((r.page, r.x0, r.y0, r.x1, r.y1) for r in islands.text_blocks(rle, size, ["page"]).collect())
+    assert got == [(1, 97, 7, 143, 25), (1, 177, 7, 403, 43), (2, 97, 7, 143, 25), (2, 143, 7, 403, 25), (3, 97, 7, 403, 43), (3, 137, 37, 303, 63)]
 
 
 def test_islands_boundaries(spark):
@@ -187,6 +211,29 @@ def test_raster_operators():
     columns = np.zeros(120, bool)
     columns[[2, 8, 20, 34, 60]] = True
     assert raster.extended(columns) == 35
+    far = np.zeros(120, bool)
+    far[[0, 28, 40]] = True  # the first ink may be farther off than the gap
+    assert raster.extended(far) == 41 and raster.extended(far[:20]) == 0
+    page[105:130, 125:140] = 0
+    assert raster.icon_badges(page, 5) == [(50, 100, 140, 140)]
+    assert raster.ellipse(5, 5).astype(int).tolist() == [[0, 0, 1, 0, 0], [1] * 5, [1] * 5, [1] * 5, [0, 0, 1, 0, 0]]
+
+
+def test_frames_of_pictures(spark):
+    page = np.full((300, 400, 3), 255, np.uint8)
+    page[100:140, 50:100] = (160, 120, 20)
+    schema = "id long, width int, height int, pixels array<int>"
+    df = spark.createDataFrame([(1, 400, 300, page.ravel().tolist()), (2, 1, 1, [255, 255, 255])], schema)
+    assert [tuple(r) for r in raster.picture_badges(df).collect()] == [(1, 50, 100, 100, 140)]
+    assert raster.picture_badges(df.limit(0)).count() == 0
+    pixels = spark.createDataFrame([(1, *map(int, c)) for c in page.reshape(-1, 3)[::997]] + [(2, 150, 30, 180)] * 25, "id long, blue int, green int, red int")
+    got = {r.id: (r.ink, r.share, r.coloured) for r in raster.colour_shares(pixels, ["id"]).collect()}
+    assert got[2] == (25, 1.0, True) and not got[1][2]
+    rng = np.random.default_rng(6)
+    colours = rng.integers(0, 256, (300, 3))
+    shown = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(colours)], "i long, b int, g int, r int")
+    found = [(r.h, r.s, r.v) for r in shown.orderBy("i").select(*(c.alias(n) for c, n in zip(raster.hsv_columns(F.col("b"), F.col("g"), F.col("r")), "hsv", strict=True))).collect()]
+    assert found == list(map(tuple, raster.hsv(colours).tolist()))
 
 
 def test_state_is_idempotent_and_keeps_first_of_ties(spark):
@@ -250,10 +297,46 @@ def test_documents(spark, tmp_path):
     with pytest.raises(ValueError):
         documents.write_documents(good.withColumn("page_count", F.lit(-1)), out, "book")
     assert [(r.folder, r.title) for r in documents.book_index(spark, str(tmp_path)).collect()] == [("b1", "T")]
+    assert [(r.folder, r.title, r.violations) for r in documents.book_documents(spark, str(tmp_path), "book").collect()] == [("b1", "T", [])]
     rows = spark.createDataFrame([('{"2": "a", "10": "b"}',), (None,), ("x",)], "j string").select(documents.map_rows(F.col("j")).alias("m")).collect()
     assert [[tuple(e) for e in r.m] for r in rows] == [[(2, "a"), (10, "b")], [], []]
 
 
+def test_many_documents_go_out_and_in(spark, tmp_path):
+    rows = [("1.0", f"b{i}", f"line\n{i}", i, "2024-01-01") for i in range(5)]
+    books = spark.createDataFrame(rows, "schema_version string, id string, title string, page_count int, created_at string").coalesce(1)
+    out = str(tmp_path / "many")
+    documents.write_documents(books, out, "book")
+    back = documents.valid(documents.read_documents(spark, out, "book"))
+    assert sorted((r.schema_version, r.id, r.title, r.page_count, r.created_at) for r in back.collect()) == rows
+    (tmp_path / "two.json").write_text('{"schema_version": "1.0"} {"schema_version": "1.0"}')
+    assert documents.read_documents(spark, str(tmp_path / "two.json"), "book").first().violations == ["not an object"]
+
+
+def test_last_page_images_and_stores(spark, tmp_path):
+    where = str(tmp_path / "last_page.json")
+    assert documents.read_last_page(spark, where) is None
+    documents.write_last_page(spark, 31, where)
+    documents.write_last_page(spark, 32, where)
+    assert documents.read_last_page(spark, where) == 32
+    (tmp_path / "pages").mkdir()
+    for name in ("0001.png", "0001.webp", "0002.jpg", "0003.gif", "cover.png"):
+        (tmp_path / "pages" / name).write_bytes(name.encode())
+    got = sorted((r.page, r.ending, bytes(r.content)) for r in documents.page_images(spark, str(tmp_path / "pages")).collect())
+    assert got == [(1, "webp", b"0001.webp"), (2, "jpg", b"0002.jpg")]
+    store = str(tmp_path / "state")
+    assert state.open_store(spark, store).count() == 0
+    spark.createDataFrame([("b", "marks", "1:1", "1", 1.0, 0, 1)], state.STORED).write.mode("append").parquet(store)
+    assert state.open_store(spark, store).count() == 1
+
+
+def test_ledger_texts(spark):
+    texts = [None, "", "oops", "[]", '{"marks": 5, "spam": {"k": {"v": 1, "t": 1}}}', '{"marks": {"1:2": {"v": "done", "t": 5, "d": 0}}, "bookmarks": {"7": {"v": {"at": 3}, "t": 4.5}}, "recent": {"9": {"v": null, "t": 2, "d": 1}}}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [(r.i, *r.e) for r in df.select("i", F.explode(state.from_ledger(F.col("t"))).alias("e")).collect()]
+    assert sorted(got) == [(5, "bookmarks", "7", '{"at":3}', 4.5, 0), (5, "marks", "1:2", "done", 5.0, 0), (5, "recent", "9", None, 2.0, 1)]
+
+
 def test_text_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("v")).first().v
