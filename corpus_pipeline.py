@@ -2,6 +2,9 @@
 
 Each stage gets all that the stage before it kept and sees its own input only. Stages are joined by
 tables in the shared folder, so a lost executor costs no finished stage.
+
+All stages take null and empty texts (as empty ones), repeated rows and null ids (each row is a document of its own; of
+equal ones a deduplicating stage keeps one), empty tables, and further columns of any name, which pass unchanged.
 """
 
 from __future__ import annotations
@@ -22,7 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_toxicity(docs, labels, lambda key: F.crc32(key.cast("string")) % 3 == 1)
-    return toxicity.score_toxicity(docs, model, out="__score").filter(F.col("__score") < TOXIC).drop("__score")
+    score = "score"
+    while score in docs.columns:
+        score = f"_{score}"
+    return toxicity.score_toxicity(docs, model, out=score).filter(F.col(score) < TOXIC).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
