@@ -156,7 +156,7 @@ WITH list AS (
   SELECT *, lead(since) OVER (PARTITION BY entry ORDER BY since) AS until FROM list
 ), captures AS (
   SELECT DISTINCT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 527040) AS fetched,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.+$', '') AS host,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)', 1)) AS segment
   FROM pages
 ), hits AS (

@@ -1,7 +1,7 @@
 """URL filters whose list entries have dates: a capture is judged by the entries in force when it was fetched.
 
 A list is a log of dated entries (entry, action, since). An entry is a host or domain, which holds for its
-subdomains too, or a host and a first path segment ("host/segment"). Of one entry, each row is in force
+subdomains too, or a host and a first path segment ("host/segment"), both without regard to case. Of one entry, each row is in force
 from its date up to the next row's date: a validity interval. Actions are "block", "allow" and "drop"
 (delisted). Rows of one entry with one date: the action last in the alphabet counts.
 """
@@ -19,7 +19,8 @@ SALTS = 16
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1))
+    """The host in lower case, without full stops at its end."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1)), r"\.+$", "")
 
 
 def keys_of(url: Column) -> Column:

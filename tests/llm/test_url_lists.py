@@ -14,7 +14,7 @@ ENTRIES = [
 CASES = [
     ("http://bad.com/a", "2024-01-01", True), ("http://bad.com/a", "2023-12-31", False), ("http://www.bad.com:80/", "2024-01-31 23:59:59", True), ("http://bad.com", "2024-02-01", False), ("https://u@BAD.com?x", "2024-03-01", True),
     ("http://ok.bad.com/", "2024-03-04", True), ("http://a.ok.bad.com/", "2024-03-05", False), ("http://notbad.com/", "2024-01-05", False), ("http://x.org/spam/1", "2024-05-01", True), ("http://x.org/spammy", "2024-05-01", False),
-    ("http://y.x.org/spam", "2024-05-01", False), ("http://tie.net/", "2024-05-01", True), ("http://n.com", "2024-05-01", False), ("http://m.com", "2024-05-01", False), (None, "2024-05-01", False), ("", "2024-05-01", False), ("no url", "2024-05-01", False), ("http://bad.com/" + "p" * 50_000, "2024-03-02", True),
+    ("http://y.x.org/spam", "2024-05-01", False), ("http://tie.net/", "2024-05-01", True), ("http://n.com", "2024-05-01", False), ("http://m.com", "2024-05-01", False), (None, "2024-05-01", False), ("", "2024-05-01", False), ("no url", "2024-05-01", False), ("http://bad.com/" + "p" * 50_000, "2024-03-02", True), ("http://Bad.com./x", "2024-01-05", True), ("http://x.org../spam", "2024-05-01", True), ("http://./", "2024-05-01", False),
 ]
 
 
