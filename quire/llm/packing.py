@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -19,6 +20,12 @@ from quire.llm.common import written
 #: Rows that one packing task sorts and packs, about. What is lost is a few part-filled sequences for each of so many rows.
 PACK_ROWS = 32_000
 
+# The normal form and the splitting of the vocabulary files that are encoded chunk by chunk.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
 # Chunks of printable ASCII, white space and the letters of Latin-1: lower-casing and normal form are plain there.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ\s]+")
@@ -32,11 +39,13 @@ def _byte_characters() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """Encodes text chunk by chunk; white space separates words in this kind of vocabulary and is dropped."""
+    """Encodes text chunk by chunk where the file splits words at white space and drops that (by_chunks), else whole texts by the library alone."""
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_chunks = (parts["normalizer"], parts["pre_tokenizer"], parts["model"].get("dropout")) == (_NORMAL, _SPLIT, None)
         self.model = self.tokenizer.model
         self.byte = _byte_characters()
         self.word = ChunkCache(self._word)
@@ -46,6 +55,13 @@ class WordTokenizer:
         shown = word if word.isascii() else "".join(self.byte[b] for b in word.encode())
         return array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets of the texts, flat ids)."""
+        if self.by_chunks:
+            return encode_slice(texts, self.chunk)
+        found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+        return np.cumsum([0, *map(len, found)]), np.array([i for f in found for i in f], np.int32)
+
     def _chunk(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk):
             return b"".join(map(self.word, _PARTS.findall(chunk.lower())))
@@ -66,11 +82,11 @@ def token_pieces(df: DataFrame, tokenizer_file: str, capacity: int, end_id: int
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = word_tokenizer(tokenizer_file).chunk
+        tokenizer = word_tokenizer(tokenizer_file)
         for batch in batches:
             at = 0
             for part in slices(batch.column(1)):
-                upto, ids = encode_slice(part, chunk)
+                upto, ids = tokenizer.slice(part)
                 keys, piece, start, body = [], [], [], []
                 for i, (a, b) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)):
                     own = np.append(ids[a:b], np.int32(end_id)).astype("<u4")

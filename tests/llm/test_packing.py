@@ -1,8 +1,10 @@
+import json
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given
 from hypothesis import strategies as st
 from quire.llm import packing, queries
@@ -48,6 +50,19 @@ def test_pieces_of_odd_texts(spark):
     check(rows, dict(enumerate(reference(ODD))), 64)
 
 
+def test_other_tokenizer_files_go_by_the_library(tmp_path):
+    assert packing.WordTokenizer(FILE).by_chunks
+    parts = json.load(open(FILE))
+    parts["normalizer"]["normalizers"].pop()
+    file = str(tmp_path / "cased.json")
+    json.dump(parts, open(file, "w"))
+    own, library = packing.WordTokenizer(file), Tokenizer.from_file(file)
+    library.encode_special_tokens = True
+    upto, ids = own.slice(pa.array([x or "" for x in ODD], pa.large_string()))
+    assert not own.by_chunks
+    assert [ids[a:z].tolist() for a, z in zip(upto, upto[1:], strict=False)] == [library.encode(x or "", add_special_tokens=False).ids for x in ODD]
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), FILE, 64).count() == 0
 
