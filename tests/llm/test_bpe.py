@@ -2,7 +2,10 @@ import base64
 import hashlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from quire.llm import bpe, queries
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -27,6 +30,29 @@ def test_same_ids_as_the_library(spark):
         assert bytes(got[i].decoded) == (t or "").encode()
 
 
+CODEC = bpe.Codec(RANKS, P.PATTERN)
+MIXED = st.text(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u2028\u3000aZé漢かͅʰ1٣²Ⅷ_-'’s.!🙂\u0301\u200d", max_size=24)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(MIXED, max_size=6))
+def test_same_ids_on_mixtures(texts):
+    got = [ids[a:z].tolist() for upto, ids in CODEC.batch(pa.array(texts, pa.string())) for a, z in zip(upto, upto[1:], strict=False)]
+    assert got == [CODEC.encoding.encode_ordinary(t) for t in texts]
+
+
+@settings(max_examples=60, deadline=None)
+@given(MIXED, st.integers(1, 9))
+def test_same_ids_of_long_texts(text, times):
+    whole = CODEC.encoding.encode_ordinary(text * times)
+    short = bpe.LONG
+    try:
+        bpe.LONG = 5
+        assert CODEC.ids(text * times) == whole
+    finally:
+        bpe.LONG = short
+
+
 def test_very_long_runs(spark):
     texts = [" " * 400_000 + "a", "\n" * 300_000 + " b", "z" * 300_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
