@@ -162,10 +162,10 @@ def extended(ink_columns: np.ndarray, gap: int = GAP, limit: int = REACH, ignore
     return last
 
 
-def icon_badges(bgr: np.ndarray, kernel: np.ndarray | int = 17, **limits) -> list[tuple[int, int, int, int]]:
+def icon_badges(bgr: np.ndarray, kernel: np.ndarray | int = 17, reach: tuple[int, int, int] = (GAP, REACH, BORDER), **limits) -> list[tuple[int, int, int, int]]:
     """Badges, each up to the end of the number at its right."""
     ink = ink_mask(grey(bgr))
-    return [(x0, y0, x1 + extended(ink[y0:y1, x1:].any(0)), y1) for x0, y0, x1, y1 in badges(bgr, kernel, **limits)]
+    return [(x0, y0, x1 + extended(ink[y0:y1, x1:].any(0), *reach), y1) for x0, y0, x1, y1 in badges(bgr, kernel, **limits)]
 
 
 def _pictures(df: DataFrame, key: str, f: Callable[[np.ndarray], list[tuple]], schema: str, names: list[str], channels: int = 1, others: tuple[str, ...] = ()) -> DataFrame:
@@ -216,9 +216,9 @@ def ink_parts(pictures: DataFrame, key: str = "id") -> DataFrame:
     return _pictures(pictures, key, lambda x: stats(components(ink_mask(x))), "x long, y long, w long, h long, area long", ["x", "y", "w", "h", "area"])
 
 
-def picture_badges(pictures: DataFrame, key: str = "id", kernel: np.ndarray | int = 17, **limits) -> DataFrame:
+def picture_badges(pictures: DataFrame, key: str = "id", kernel: np.ndarray | int = 17, reach: tuple[int, int, int] = (GAP, REACH, BORDER), **limits) -> DataFrame:
     """Key, x0, y0, x1, y1 of the badges of pictures (pixels: blue, green, red of each)."""
-    return _pictures(pictures, key, lambda x: icon_badges(x, kernel, **limits), "x0 long, y0 long, x1 long, y1 long", ["x0", "y0", "x1", "y1"], channels=3)
+    return _pictures(pictures, key, lambda x: icon_badges(x, kernel, reach, **limits), "x0 long, y0 long, x1 long, y1 long", ["x0", "y0", "x1", "y1"], channels=3)
 
 
 def crops(pictures: DataFrame, key: str = "id", box: str = "box") -> DataFrame:

@@ -719,20 +719,27 @@ def otsu_hist(spark, sf):
     return raster.otsu_levels(s.raster(spark, sf), ["id"])
 
 
-# The mask's pixels, their parts and the parts' areas.
-_INK = f"""{s.PICTURES}, n AS (SELECT id, level, count(*) AS n FROM px GROUP BY ALL),
-c AS (SELECT id, level, CAST(sum(n) OVER u AS BIGINT) AS b, CAST(sum(n * level) OVER u AS BIGINT) AS t, CAST(sum(n) OVER (PARTITION BY id) AS BIGINT) AS an, CAST(sum(n * level) OVER (PARTITION BY id) AS BIGINT) AS at_ FROM n WINDOW u AS (PARTITION BY id ORDER BY level)),
-otsu AS (SELECT id, arg_max(level, [score, -level]) AS threshold FROM (SELECT id, level, CASE WHEN an > b THEN b * (an - b) * pow(t / b - (at_ - t) / (an - b), 2) ELSE 0 END AS score FROM c) GROUP BY id),
-dark AS (SELECT px.* FROM px JOIN otsu USING (id) WHERE level <= threshold),
-reach AS (SELECT id, p AS a, p AS z, x, y FROM dark UNION SELECT r.id, r.a, d.p, d.x, d.y FROM reach r JOIN dark d ON d.id = r.id AND abs(d.x - r.x) <= 1 AND abs(d.y - r.y) <= 1),
-part AS (SELECT id, a AS p, min(z) AS label, count(*) AS area FROM reach GROUP BY id, a),
-ink AS (SELECT px.*, coalesce(area >= 4, FALSE) AS on_, label FROM px LEFT JOIN part USING (id, p))"""
+def _dark_sql(pixels: str, pre: str = "") -> str:
+    """Tables up to {pre}dark: the pixels (id, p, x, y, level) at most as light as Otsu's level."""
+    return f"""{pre}n AS (SELECT id, level, count(*) AS n FROM {pixels} GROUP BY ALL),
+{pre}c AS (SELECT id, level, CAST(sum(n) OVER u AS BIGINT) AS b, CAST(sum(n * level) OVER u AS BIGINT) AS t, CAST(sum(n) OVER (PARTITION BY id) AS BIGINT) AS an, CAST(sum(n * level) OVER (PARTITION BY id) AS BIGINT) AS at_ FROM {pre}n WINDOW u AS (PARTITION BY id ORDER BY level)),
+{pre}otsu AS (SELECT id, arg_max(level, [score, -level]) AS threshold FROM (SELECT id, level, CASE WHEN an > b THEN b * (an - b) * pow(t / b - (at_ - t) / (an - b), 2) ELSE 0 END AS score FROM {pre}c) GROUP BY id),
+{pre}dark AS (SELECT {pixels}.* FROM {pixels} JOIN {pre}otsu USING (id) WHERE level <= threshold)"""
+
+
+def _parts_sql(mask: str, pre: str = "") -> str:
+    """Tables up to {pre}part: label and area of the part that each of the mask's pixels is in."""
+    return f"""{pre}reach AS (SELECT id, p AS a, p AS z, x, y FROM {mask} UNION SELECT r.id, r.a, d.p, d.x, d.y FROM {pre}reach r JOIN {mask} d ON d.id = r.id AND abs(d.x - r.x) <= 1 AND abs(d.y - r.y) <= 1),
+{pre}part AS (SELECT id, a AS p, min(z) AS label, count(*) AS area FROM {pre}reach GROUP BY id, a)"""
+
+
+_INK = f"""{s.PICTURES}, {_dark_sql("px")}, {_parts_sql("dark")}, ink AS (SELECT px.*, coalesce(area >= 4, FALSE) AS on_, label FROM px LEFT JOIN part USING (id, p))"""
 
 
-def _closed_sql(name: str, width: int, height: int, ellipse: str = "TRUE") -> str:
+def _closed_sql(name: str, width: int, height: int, ellipse: str = "TRUE", mask: str = "ink") -> str:
     """Tables of a mask grown and shrunk again: {name}_c (id, p, on_)."""
     near = f"abs(q.x - m.x) <= {width // 2} AND abs(q.y - m.y) <= {height // 2} AND {ellipse}"
-    return f"""{name}_g AS (SELECT m.id, m.p, m.x, m.y, bool_or(q.on_) AS on_ FROM ink m JOIN ink q ON q.id = m.id AND {near} GROUP BY ALL),
+    return f"""{name}_g AS (SELECT m.id, m.p, m.x, m.y, bool_or(q.on_) AS on_ FROM {mask} m JOIN {mask} q ON q.id = m.id AND {near} GROUP BY ALL),
 {name}_c AS (SELECT m.id, m.p, bool_and(q.on_) AS on_ FROM {name}_g m JOIN {name}_g q ON q.id = m.id AND {near} GROUP BY ALL)"""
 
 
@@ -778,6 +785,22 @@ def colour_shares(spark, sf):
     return raster.colour_shares(s.colour_pixels(spark, sf), ["id"], {"hue": (85, 172), "saturation": (5, 255), "value": (60, 250)})
 
 
+_BADGES = f"""{_HSV}, tint AS (SELECT id, p, x, y, hue BETWEEN 85 AND 125 AND sat BETWEEN 60 AND 255 AND v BETWEEN 40 AND 250 AS on_ FROM hsv), {_closed_sql("t", 3, 3, "(q.x = m.x OR q.y = m.y)", "tint")},
+shade AS (SELECT id, p, p % 8 AS x, p // 8 AS y FROM t_c WHERE on_), {_parts_sql("shade", "s_")},
+box AS (SELECT id, label, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) AS area FROM shade JOIN s_part USING (id, p) GROUP BY id, label),
+badge AS (SELECT * FROM box WHERE area BETWEEN 2 AND 40 AND y1 - y0 BETWEEN 2 AND 8 AND x1 - x0 <= 6 AND NOT (x0 / 8 > 0.80 AND y0 / 8 < 0.20)),
+greys AS (SELECT id, p, x, y, grey AS level FROM v), {_dark_sql("greys", "g_")}, {_parts_sql("g_dark", "g_")},
+number AS (SELECT DISTINCT b.id, b.label, d.x - b.x1 AS c FROM badge b JOIN g_dark d ON d.id = b.id AND d.y >= b.y0 AND d.y < b.y1 AND d.x - b.x1 BETWEEN 1 AND 3 JOIN g_part g ON g.id = d.id AND g.p = d.p WHERE g.area >= 4),
+gapped AS (SELECT *, CASE WHEN c - lag(c) OVER (PARTITION BY id, label ORDER BY c) - 1 > 1 THEN 1 ELSE 0 END AS fresh FROM number),
+ends AS (SELECT id, label, max(c) + 1 AS reach FROM (SELECT *, sum(fresh) OVER (PARTITION BY id, label ORDER BY c) AS island FROM gapped) WHERE island = 0 GROUP BY id, label)"""
+
+
+@query(f"WITH RECURSIVE {_BADGES} SELECT id, x0, y0, x1 + coalesce(reach, 0) AS x1, y1 FROM badge LEFT JOIN ends USING (id, label)")
+def icon_badges(spark, sf):
+    """With small limits, as the pictures are small."""
+    return raster.picture_badges(s.colour_pictures(spark, sf), kernel=raster.ellipse(3, 3), reach=(1, 4, 1), areas=(2, 40), heights=(2, 8), widest=6)
+
+
 @query("""WITH c AS (SELECT vec_id AS id, vec_id % 4 AS x0, vec_id % 3 AS y0 FROM embeddings WHERE len(embedding) = 64), t AS (SELECT id, list(CAST(floor((greatest(-0.5, least(0.5, CAST(embedding[1 + 8 * (y0 + k // 3) + x0 + k % 3] AS DOUBLE))) + 0.5) * 255) AS BIGINT) ORDER BY k) AS v
   FROM (SELECT vec_id AS id, embedding, vec_id % 4 AS x0, vec_id % 3 AS y0, unnest(generate_series(0, 5)) AS k FROM embeddings WHERE len(embedding) = 64) GROUP BY id)
 SELECT id, sha256(from_hex(list_aggregate(list_transform(v, lambda q: lpad(to_hex(q), 2, '0')), 'string_agg', ''))) AS image_hash FROM t""")

@@ -173,5 +173,11 @@ def colour_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("id", "p", at(0)("blue"), at(21)("green"), at(42)("red"))
 
 
+def colour_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as pictures whose pixels are blue, green and red of each."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.array(*(F.get("pixels", (p + k) % 64) for k in (0, 21, 42))))
+    return pictures(spark, sf_dir).withColumn("pixels", F.flatten(each))
+
+
 PICTURES = "px AS (SELECT vec_id AS id, i - 1 AS p, (i - 1) % 8 AS x, (i - 1) // 8 AS y, CAST(floor((greatest(-0.5, least(0.5, CAST(embedding[i] AS DOUBLE))) + 0.5) * 255) AS BIGINT) AS level FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS i FROM embeddings WHERE len(embedding) = 64))"
 COLOURS = f"{PICTURES}, colours AS (SELECT b.id, b.p, b.x, b.y, b.level AS blue, g.level AS green, r.level AS red FROM px b JOIN px g ON g.id = b.id AND g.p = (b.p + 21) % 64 JOIN px r ON r.id = b.id AND r.p = (b.p + 42) % 64)"
