@@ -2,47 +2,29 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.tables import close, delete, staged
 
-def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it; elsewhere ship it with --py-files."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+__all__ = ["again", "close", "discard", "drop", "lookup_join", "numbered", "ready", "written"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in local mode where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = tempfile.mkdtemp(prefix="quire-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+#: What Python workers are started with: freed memory goes back to the machine, as idle workers stay and share an executor's memory with busy ones.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20)}
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+def ready(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; elsewhere ship it with --py-files."""
+    for name, value in {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), **WORKERS}.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: df as a Parquet table in the shared folder, which outlives any executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._quire_path = path
-    return table
+#: Cut the lineage: a table in the shared folder, which outlives any executor.
+written = staged
 
 
 def again(table: DataFrame) -> DataFrame:
@@ -50,12 +32,16 @@ def again(table: DataFrame) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(table._quire_path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that written() made, once nothing reads them any more, and let Spark drop the shuffle files of finished jobs."""
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once nothing reads them any more."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._quire_path)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(table.sparkSession, table._quire_path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """As drop(), and let Spark remove the shuffle files of finished jobs."""
+    drop(*tables)
+    spark = tables[0].sparkSession
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -13,8 +13,9 @@ at each position how long a match elsewhere is, and those of `length` bytes or m
 
 Strings that very many texts share would give keys with large shards where they border on other text.
 Their grams (met often in a batch, and often in all) lose against any other gram, so that a window with
-any byte of other text has a key of that text. What is still larger than KEY_BYTES is compared by
-digests of single windows, without limit.
+any byte of other text has a key of that text. The segments of a key that are still larger than KEY_BYTES
+are cut again by keys of their own, in which what is common among them loses; and what even then is too
+large for one index is indexed in parts, each pair of parts once.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ GRAM = 40
 SEGMENT_WINDOWS = 512
 #: Bytes of segments in a shard, about: small enough for a processor's cache.
 SHARD_BYTES = 256 << 10
-#: A key with more bytes of segments is compared by window digests.
+#: Segments of a key with more bytes get new keys; what is larger still is indexed in parts of half as much.
 KEY_BYTES = 2 << 20
 #: A gram is common if it is met so often in all, counted where a batch has its key COMMON_LOCAL times.
 COMMON, COMMON_LOCAL = 64, 8
@@ -68,6 +69,11 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return _mix(out) >> _U(1)
 
 
+def _salted(data: np.ndarray, salt: int) -> np.ndarray:
+    g = _grams(data)
+    return _mix(g ^ _U(salt)) >> _U(1) if salt else g
+
+
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     """f over each width neighbours, by doubling."""
     size = 1
@@ -95,11 +101,11 @@ def _blocks(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarr
         row += n
 
 
-def _keys(data: np.ndarray, ends: np.ndarray, length: int, common: Bloom | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None] | None:
+def _keys(data: np.ndarray, ends: np.ndarray, length: int, common: Bloom | None, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None] | None:
     """(grams, each window's key, whether the window lies in one text, whether its key is another one because of common grams)."""
     if len(data) < length:
         return None
-    g = _grams(data)
+    g = _salted(data, salt)
     plain = _slide(g, length - GRAM + 1, np.minimum)
     key, other = plain, None
     if common is not None:
@@ -152,22 +158,22 @@ def _key_counts(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, length: int, repeated: Bloom, common: Bloom | None, wanted: Bloom | None = None) -> DataFrame:
-    """id, fp, start, h, digest, d (eight bytes of it), size, twice of each segment whose key may be met again; twice: its key stands in it more than once.
+    """id, fp, start, h, digest, d (eight bytes of it), size, twice, other of each segment whose key may be met again.
 
-    With wanted, a filter of d, only those that it lets through, and with their body.
+    twice: its key stands in it more than once; other: some window has another key than what was counted. With wanted, a filter of d, only those that it lets through, and with their body.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, starts_, keys, bodies, twices, size = [], [], [], [], [], 0
+            rows, starts_, keys, bodies, twices, others, size = [], [], [], [], [], [], 0
 
             def flush() -> pa.RecordBatch:
                 at = pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]))
                 digests = [hashlib.blake2b(x, digest_size=16).digest() for x in bodies]
                 d = np.frombuffer(b"".join(digests), np.int64)[::2]
-                names = ["id", "fp", "start", "h", "digest", "d", "size", "twice", "body"]
+                names = ["id", "fp", "start", "h", "digest", "d", "size", "twice", "other", "body"]
                 out = pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([*starts_, np.zeros(0, np.int64)])), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(digests, pa.binary()), pa.array(d), pa.array([len(x) for x in bodies], pa.int32()), pa.array(twices, pa.bool_()), pa.array(bodies, pa.binary())],
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([*starts_, np.zeros(0, np.int64)])), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(digests, pa.binary()), pa.array(d), pa.array([len(x) for x in bodies], pa.int32()), pa.array(twices, pa.bool_()), pa.array(np.concatenate([*others, np.zeros(0, bool)])), pa.array(bodies, pa.binary())],
                     names,
                 )
                 return out.select(names[:-1]) if wanted is None else out.filter(pa.array(wanted.maybe(np.ascontiguousarray(d))))
@@ -184,12 +190,13 @@ def _segments(docs: DataFrame, length: int, repeated: Bloom, common: Bloom | Non
                 last = np.append(first[1:], len(key))
                 ok = inside[first]
                 passed = repeated.maybe(key[first] & ~_TOP)
+                moved = np.zeros(len(first), bool)
                 if other is not None:
                     # Such keys were not counted; let them pass.
                     upto = np.concatenate(([0], np.cumsum(other)))
-                    passed |= upto[last] > upto[first]
-                ok &= passed
-                starts, stops = first[ok], last[ok]
+                    moved = upto[last] > upto[first]
+                ok &= passed | moved
+                starts, stops, moved = first[ok], last[ok], moved[ok]
                 pieces = -(-(stops - starts) // SEGMENT_WINDOWS)
                 at = np.repeat(np.arange(len(starts)), pieces)
                 step = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -201,17 +208,18 @@ def _segments(docs: DataFrame, length: int, repeated: Bloom, common: Bloom | Non
                 rows.append(row[doc])
                 starts_.append(a - ends[doc] + offset[doc])
                 keys.append(key[a].view(np.int64))
+                others.append(moved[at])
                 bodies += own
                 # A window can repeat inside a segment only where the key stands in it twice.
                 twices += [bool((g[i : j + length - GRAM] == key[i]).sum() > 1) for i, j in zip(a.tolist(), z.tolist(), strict=True)]
                 size += sum(map(len, own))
                 if size >= HANDED_ON:
                     yield flush()
-                    rows, starts_, keys, bodies, twices, size = [], [], [], [], [], 0
+                    rows, starts_, keys, bodies, twices, others, size = [], [], [], [], [], [], 0
             yield flush()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "fp", "text").mapInArrow(run, f"id {kind}, fp long, start long, h long, digest binary, d long, size int, twice boolean" + ", body binary" * (wanted is not None))
+    return docs.select("id", "fp", "text").mapInArrow(run, f"id {kind}, fp long, start long, h long, digest binary, d long, size int, twice boolean, other boolean" + ", body binary" * (wanted is not None))
 
 
 class RunLengthIndex:
@@ -232,10 +240,21 @@ class RunLengthIndex:
         head = np.ones(self.n, bool)
         head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
         tail = np.append(head[1:], True)
-        self.runs = int(head.sum())
         up, down = np.flatnonzero(head), np.flatnonzero(tail)
         self.above = self._samples(order, up, -1)
         self.below = self._samples(order, down, 1)
+        # The runs: where they begin, their symbols, the text places of the suffixes at their ends; and the order of runs by symbol.
+        self.begins, self.heads = up, before[up].astype(np.int64)
+        self.top, self.bottom = order[up], order[down]
+        lengths = down - up + 1
+        self.by_symbol = np.argsort(self.heads, kind="stable")
+        # A row with symbol c goes to the rows of suffixes that begin with c, in the same order: where each run's first row goes.
+        self.goes = np.empty(len(up), np.int64)
+        self.goes[self.by_symbol] = np.cumsum(lengths[self.by_symbol]) - lengths[self.by_symbol]
+
+    @property
+    def runs(self) -> int:
+        return len(self.begins)
 
     def _suffixes(self) -> np.ndarray:
         """The suffix array, by prefix doubling from seven symbols; only undecided suffixes are sorted again."""
@@ -311,6 +330,54 @@ class RunLengthIndex:
         return best
 
 
+    def _shared(self, p: int, q: int) -> int:
+        """How many symbols the suffixes at p and q share; a separator ends them."""
+        n, step = 0, 16
+        while True:
+            x, y = self.symbols[p + n : min(self.n, p + n + step)], self.symbols[q + n : min(self.n, q + n + step)]
+            k = min(len(x), len(y))
+            differ = np.flatnonzero((x[:k] != y[:k]) | (x[:k] == 0))
+            if len(differ):
+                return n + int(differ[0])
+            n += k
+            if k < step:
+                return n
+            step *= 2
+
+    def statistics_of(self, text: bytes) -> np.ndarray:
+        """At each position of a text that is not in the index, the length of the longest match in it, streamed from the end.
+
+        One step back costs a search among the runs: where the row's run has the wanted symbol the match grows by
+        one; else the row moves to the nearer run of that symbol, above or below, with which it shares more, by the
+        sampled place of that run's end.
+        """
+        out = np.zeros(len(text), np.int64)
+        row, place, length = 0, int(self.top[0]), 0
+        marks = np.searchsorted(self.heads[self.by_symbol], np.arange(258))
+        for i in range(len(text) - 1, -1, -1):
+            c = text[i] + 1
+            own = self.by_symbol[marks[c] : marks[c + 1]]
+            if not len(own):
+                length, row, place = 0, 0, int(self.top[0])
+                continue
+            run = int(np.searchsorted(self.begins, row, "right")) - 1
+            if self.heads[run] != c:
+                at = int(np.searchsorted(own, run))
+                tries = []
+                if at > 0:
+                    above = int(own[at - 1])
+                    tries.append((min(length, self._shared(place, int(self.bottom[above]))) if length else 0, above, int(self.bottom[above]), int(self.begins[above + 1]) - 1 if above + 1 < len(self.begins) else self.n - 1))
+                if at < len(own):
+                    below = int(own[at])
+                    tries.append((min(length, self._shared(place, int(self.top[below]))) if length else 0, below, int(self.top[below]), int(self.begins[below])))
+                length, run, place, row = max(tries)
+            row = int(self.goes[run]) + row - int(self.begins[run])
+            place -= 1
+            length += 1
+            out[i] = length
+        return out
+
+
 def repeated_windows(strings: list[bytes], length: int) -> list[list[int]]:
     """For each string, the windows in it that occur elsewhere in the strings, as flat [from, to) pairs."""
     if not strings:
@@ -334,19 +401,72 @@ def _by_index(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"digest": rows["digest"].take(pa.array(keep, pa.int64())), "hits": pa.array([found[i] for i in keep], pa.list_(pa.int32()))})
 
 
-def _by_digest(big: DataFrame, length: int) -> DataFrame:
-    """The same as an index finds, for segments of keys that would make too large a shard."""
+def _sub_grams(big: DataFrame, length: int, salt: int) -> DataFrame:
+    """h: grams that are met in over COMMON segments, or as often in them, of one large key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = [hashlib.blake2b(x[i : i + length], digest_size=16).digest() for i in range(len(x) - length + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([d] * len(w), pa.binary()), pa.array(range(len(w)), pa.int32())], ["w", "digest", "at"])
+            met = []
+            for at in range(0, len(b), 256):
+                grams = [_salted(np.frombuffer(x, np.uint8), salt) for x in b.column(0).slice(at, 256).to_pylist()]
+                met.append(np.unique(np.concatenate(grams), return_counts=True))
+            h = np.concatenate([*(x for x, _ in met), np.zeros(0, _U)])
+            n = np.concatenate([*(x for _, x in met), np.zeros(0, np.int64)])
+            h, at = np.unique(h, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(at, n, len(h)).astype(np.int64))], ["h", "n"])
+
+    return big.select("body").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+
 
-    windows = written(big.select("digest", "body").mapInArrow(run, "w binary, digest binary, at int"), "windows")
-    often = written(windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"), "often")
-    hit = lookup_join(windows, often, "w", "n", "inner")
-    return hit.groupBy("digest").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("hits"))
+def _by_new_keys(big: DataFrame, length: int, shard_bytes: int, salt: int = 0x5BD1E995) -> DataFrame:
+    """(digest, hits) of segments (h, digest, body; all distinct) of keys that would make too large an index: they are cut again by other keys.
+
+    Among them, grams met COMMON times or more lose against others, so a window with any rarer gram has a key with few
+    segments. What has none is indexed in parts of half of KEY_BYTES, each pair of parts by a task of its own.
+    """
+    grams = written(_sub_grams(big, length, salt), "sub-grams")
+    count = grams.count()
+    common = bloom(grams, "h", count) if count else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, len(b), 256):
+                part = b.slice(s, 256)
+                of, begin, keys, bodies = [], [], [], []
+                for i, (h, x) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    data = np.frombuffer(x, np.uint8)
+                    _, key, _, _ = _keys(data, np.array([0, len(data)]), length, common, salt)
+                    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    last = np.append(first[1:], len(key))
+                    of += [i] * len(first)
+                    begin += first.tolist()
+                    keys += (_mix(key[first] ^ _U(h & 0xFFFFFFFFFFFFFFFF))).view(np.int64).tolist()
+                    bodies += [x[a : z + length - 1] for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+                digests = [hashlib.blake2b(x, digest_size=16).digest() for x in bodies]
+                names = ["parent", "begin", "h", "digest", "body"]
+                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(of, pa.int64())), pa.array(begin, pa.int32()), pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())], names)
+
+    cut = written(big.select("h", "digest", "body").mapInArrow(run, "parent binary, begin int, h long, digest binary, body binary"), "sub-segments")
+    distinct = written(cut.groupBy("h", "digest").agg(F.count("*").alias("w"), F.first("body").alias("body")), "sub-distinct")
+    per = written(distinct.groupBy("h").agg(F.sum(F.octet_length("body")).alias("bytes"), F.count("*").alias("k")), "sub-keys")
+    sized = written(lookup_join(distinct, per, "h", "k", "inner"), "sub-sized")
+    total = per.filter(F.col("bytes") <= KEY_BYTES).agg(F.sum("bytes")).first()[0] or 0
+    small = sized.filter(F.col("bytes") <= KEY_BYTES).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(total // shard_bytes + 1)))
+    found = small.select("shard", "digest", "body").groupBy("shard").applyInArrow(lambda t: _by_index(t, length), "digest binary, hits array<int>")
+    large = sized.filter(F.col("bytes") > KEY_BYTES)
+    if large.head(1):
+        parts = F.ceil(2 * F.col("bytes") / KEY_BYTES).cast("int")
+        own = large.withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+        # A part meets each other one, and with two parts or more all of its strings meet each other there as well.
+        pairs = own.withColumn("o", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("p"))))
+        pairs = pairs.select("h", F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b"), "digest", "body")
+        found = found.unionByName(pairs.groupBy("h", "a", "b").applyInArrow(lambda t: _by_index(t, length), "digest binary, hits array<int>"))
+    found = written(found.groupBy("digest").agg(F.flatten(F.collect_list("hits")).alias("hits")), "sub-hits")
+    often = distinct.filter("w > 1").select("digest", F.array(F.lit(0), (F.octet_length("body") - length + 1).cast("int")).alias("all"), "w")
+    marks = often.join(found, "digest", "full").select("digest", F.coalesce("all", "hits").alias("hits"), F.coalesce("w", F.lit(1)).alias("w"))
+    here = lookup_join(cut.select("parent", "begin", "digest"), written(marks, "sub-marked"), "digest", "w", "inner")
+    moved = here.select(F.col("parent").alias("digest"), F.transform("hits", lambda x: x + F.col("begin")).alias("hits"))
+    return moved.groupBy("digest").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 
 def repeated_spans(df: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -359,8 +479,16 @@ def repeated_spans(df: DataFrame, length: int = 200, text: str = "text", key: st
     counts = written(counts.filter(F.when(F.col("gram"), F.col("n") >= COMMON).otherwise(F.col("n") > 1)), "keys")
     keys, grams = counts.filter("not gram"), counts.filter("gram")
     n_grams = grams.count()
-    repeated, common = bloom(keys, "h", keys.count()), bloom(grams, "h", n_grams) if n_grams else None
-    segments = written(_segments(docs, length, repeated, common), "segments")
+    n_keys = keys.count()
+    repeated, common = bloom(keys, "h", n_keys), bloom(grams, "h", n_grams) if n_grams else None
+    segments = _segments(docs, length, repeated, common)
+    if not repeated.suits(n_keys):
+        # More keys than a filter tells apart: what it let through is looked up among them; segments with keys that were not counted stay.
+        again_ = written(segments.withColumn("counted", ~F.col("other")), "all-segments")
+        plain = F.col("h").bitwiseAND(F.lit((1 << 63) - 1))
+        met = lookup_join(again_.filter("counted").withColumn("plain", plain), keys.select(F.col("h").alias("plain"), "n"), "plain", "n", "inner").drop("plain")
+        segments = met.unionByName(again_.filter("not counted"))
+    segments = written(segments.select("id", "fp", "start", "h", "digest", "d", "size", "twice"), "segments")
     discard(counts)
     distinct = written(segments.groupBy("h", "digest", "d", "size", "twice").agg(F.count("*").alias("w")), "distinct")
     # Only keys with a segment of which nothing is known yet need an index.
@@ -375,7 +503,7 @@ def repeated_spans(df: DataFrame, length: int = 200, text: str = "text", key: st
     small = texts.filter(F.col("bytes") <= KEY_BYTES).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     found = small.select("shard", "digest", "body").groupBy("shard").applyInArrow(lambda t: _by_index(t, length), "digest binary, hits array<int>")
     if per.filter(F.col("bytes") > KEY_BYTES).head(1):
-        found = found.unionByName(_by_digest(texts.filter(F.col("bytes") > KEY_BYTES), length))
+        found = found.unionByName(_by_new_keys(texts.filter(F.col("bytes") > KEY_BYTES).select("h", "digest", "body"), length, SHARD_BYTES))
     single = distinct.filter("w = 1").select("digest", "w")
     found = written(found, "hits")
     discard(texts, todo, per)
@@ -396,20 +524,15 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(df: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """df with kept (binary: the bytes that stay), removed (array of [from, to) byte ranges, merged) and n_bytes; columns of these names are replaced.
-
-    Removed is each byte covered by a string of `length` bytes that also starts elsewhere in any text,
-    the same one included. Null texts count as empty; shorter texts stay whole; a repeated row is a text
-    of its own. Keys may repeat or be null. An empty table gives no rows. df is read five times.
-    """
+def _cut(df: DataFrame, length: int, text: str, key: str) -> DataFrame:
+    """df with __kept (binary), __removed (array of [from, to) byte ranges, merged)."""
     spans = written(repeated_spans(df, length, text, key), "spans")
     body = F.coalesce(F.col(text), F.lit(""))
-    source = df.drop("kept", "removed", "n_bytes").withColumn("__id", F.col(key)).withColumn("__fp", F.xxhash64(body))
+    source = df.withColumn("__id", F.col(key)).withColumn("__fp", F.xxhash64(body))
     some = bloom(spans.select(F.xxhash64("id", "fp").alias("h")), "h", spans.count())
     source = source.withColumn("__maybe", some.holds(F.xxhash64("__id", "__fp")))
     ranges = "array<struct<from:long,to:long>>"
-    clear = source.filter("not __maybe").withColumn("kept", F.coalesce(F.col(text), F.lit("")).cast("binary")).withColumn("removed", F.array().cast(ranges))
+    clear = source.filter("not __maybe").withColumn("__kept", body.cast("binary")).withColumn("__removed", F.array().cast(ranges))
 
     @F.arrow_udf(f"struct<kept:binary,removed:{ranges}>")
     def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -425,24 +548,37 @@ def remove_repeats(df: DataFrame, length: int = 200, text: str = "text", key: st
         return pa.array(out, pa.struct([("kept", pa.binary()), ("removed", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))]))
 
     met = source.filter("__maybe").join(spans.withColumnsRenamed({"id": "__of", "fp": "__print", "spans": "__spans"}), F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__fp") == F.col("__print")), "left")
-    met = met.withColumn("__cut", cut(F.col(text), F.col("__spans"))).withColumn("kept", F.col("__cut.kept")).withColumn("removed", F.col("__cut.removed"))
-    columns = [*df.drop("kept", "removed", "n_bytes").columns, "kept", "removed"]
-    return clear.select(columns).unionByName(met.select(columns)).withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
+    met = met.withColumn("__cut", cut(F.col(text), F.col("__spans"))).withColumn("__kept", F.col("__cut.kept")).withColumn("__removed", F.col("__cut.removed"))
+    columns = [*df.columns, "__kept", "__removed"]
+    return clear.select(columns).unionByName(met.select(columns))
+
+
+def remove_repeats(df: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """df with kept (binary: the bytes that stay), removed (array of [from, to) byte ranges, merged) and n_bytes; columns of these names are replaced.
+
+    Removed is each byte covered by a string of `length` bytes that also starts elsewhere in any text,
+    the same one included. Null texts count as empty; shorter texts stay whole; a repeated row is a text
+    of its own. Keys may repeat or be null. An empty table gives no rows. df is read five times.
+    """
+    cut = _cut(df.drop("kept", "removed", "n_bytes"), length, text, key)
+    size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+    return cut.withColumnsRenamed({"__kept": "kept", "__removed": "removed"}).withColumn("n_bytes", size)
 
 
 def strip_repeats(df: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id", size: str = "n_chars") -> DataFrame:
     """df, all rows and columns, with repeated bytes gone from the text and the text's length in size (if df has it).
 
-    A character of which only a part was covered goes whole. Texts without repeats stay as they are, nulls too.
+    A character of which only a part was covered goes whole. Texts without repeats stay as they are, nulls too;
+    so do all other columns, whatever their names.
     """
 
     @F.arrow_udf("string")
     def characters(raw: pa.Array) -> pa.Array:
         return pa.array([x.decode("utf-8", "ignore") for x in raw.to_pylist()], pa.string())
 
-    cut = remove_repeats(df, length, text, key)
-    less = F.size("removed") > 0
-    out = cut.withColumn("__text", characters(F.when(less, F.col("kept")).otherwise(F.lit(b"")))).withColumn(text, F.when(less, F.col("__text")).otherwise(F.col(text)))
+    cut = _cut(df, length, text, key)
+    less = F.size("__removed") > 0
+    out = cut.withColumn("__text", characters(F.when(less, F.col("__kept")).otherwise(F.lit(b"")))).withColumn(text, F.when(less, F.col("__text")).otherwise(F.col(text)))
     if size in df.columns:
         out = out.withColumn(size, F.when(less, F.length(text)).otherwise(F.col(size)).cast(df.schema[size].dataType))
     return out.select(df.columns)

@@ -42,6 +42,46 @@ def test_few_runs_for_repetitive_text():
     assert (index.matching_statistics()[:2000] == np.arange(2000, 0, -1)).all()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc", max_size=40), min_size=1, max_size=6), st.text("abcd", max_size=60))
+def test_statistics_of_a_text_outside_the_index(texts, asked):
+    strings, asked = [t.encode() for t in texts], asked.encode()
+    got = rindex.RunLengthIndex(strings).statistics_of(asked)
+    for i, n in enumerate(got.tolist()):
+        assert n == max(k for k in range(len(asked) - i + 1) if any(asked[i : i + k] in x for x in strings))
+
+
+def test_runs_give_the_transform():
+    index = rindex.RunLengthIndex([b"abracadabra", b"abra", b"cadabra"])
+    assert index.runs == len(index.heads) == len(index.top) == len(index.bottom) < index.n
+    assert index.goes[index.by_symbol].tolist() == sorted(index.goes.tolist())
+
+
+def phrases():
+    """Texts of a few phrases in any order: most of their grams are common, most of their windows are not."""
+    rng = random.Random(8)
+    parts = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(9)]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(2, 40))) for _ in range(120)]
+
+
+@pytest.mark.parametrize("limits", [{"KEY_BYTES": 20_000}, {"KEY_BYTES": 2_000, "COMMON": 8}])
+def test_large_keys_of_repetitive_text(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(rindex, k, v)
+    texts = phrases()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in rindex.remove_repeats(df, 200).collect()}
+    assert got == {i: runs for i, (_, runs, _) in enumerate(brute(texts, 200))}
+
+
+def test_more_keys_than_a_filter_holds(spark, monkeypatch):
+    monkeypatch.setattr(rindex.Bloom, "suits", lambda self, count: False)
+    texts = corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in rindex.remove_repeats(df, 200).collect()}
+    assert got == {i: runs for i, (_, runs, _) in enumerate(brute(texts, 200))}
+
+
 def corpus():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij é") for _ in range(rng.randint(2, 9)))
@@ -59,7 +99,7 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("limits", [{}, {"SHARD_BYTES": 3000, "KEY_BYTES": 3000, "BLOCK": 900, "SEGMENT_WINDOWS": 50}])
+@pytest.mark.parametrize("limits", [{}, {"SHARD_BYTES": 3000, "KEY_BYTES": 3000, "BLOCK": 900, "SEGMENT_WINDOWS": 50}, {"KEY_BYTES": 500, "COMMON": 5, "COMMON_LOCAL": 2}])
 def test_like_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(rindex, k, v)
@@ -78,6 +118,17 @@ def test_repeated_rows_and_empty_table(spark):
     assert rindex.remove_repeats(df.limit(0), 200).count() == 0
 
 
+def test_strip_leaves_other_columns_alone(spark):
+    rng = random.Random(6)
+    t = "".join(rng.choice("abcdef ") for _ in range(300))
+    rows = [(1, t, "mine", 7, "r", 300), (2, "x" + t, "yours", 8, "s", 301), (3, None, None, None, None, None), (None, "é" + t, "k", 9, "u", 301)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_bytes int, removed string, n_chars long")
+    got = rindex.strip_repeats(df)
+    assert got.dtypes == df.dtypes
+    want = [(1, "", "mine", 7, "r", 0), (2, "x", "yours", 8, "s", 1), (3, None, None, None, None, None), (None, "é", "k", 9, "u", 1)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
