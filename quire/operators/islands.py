@@ -6,8 +6,11 @@ step compares all rows of a page with all of its boxes: rows find their span by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,7 +143,7 @@ def joined_runs(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray
 def run_components(rows: DataFrame, keys: list[str], page: list[str]) -> DataFrame:
     """Keys, x0, y0, w, h, area, tint of each 8-connected part of the rows (keys, y, x0, x1, tint); keys begin with those of the page.
 
-    A page's rows are one group; tint is summed like the area.
+    Pages are streamed whole, many at once; tint is summed like the area.
     """
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema]
 
@@ -165,7 +168,25 @@ def run_components(rows: DataFrame, keys: list[str], page: list[str]) -> DataFra
             made = made.append_column(name, pa.array(v))
         return made
 
-    return rows.groupBy(*page).applyInArrow(run, ", ".join([*names, "x0 long, y0 long, w long, h long, area long, tint long"]))
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            held = table if held is None else pa.concat_tables([held, table])
+            if not len(held):
+                continue
+            # The last page may go on in the next batch.
+            last = [held[k][-1] for k in page]
+            same = np.logical_and.reduce([np.asarray(pc.fill_null(pc.equal(held[k], v), False)) if v.is_valid else np.asarray(held[k].is_null()) for k, v in zip(page, last, strict=True)])
+            cut = int(same.argmax())
+            if cut:
+                yield from run(held.slice(0, cut)).combine_chunks().to_batches()
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield from run(held).combine_chunks().to_batches()
+
+    together = rows.select(*keys, "y", "x0", "x1", "tint").repartition(*page).sortWithinPartitions(*page)
+    return together.mapInArrow(stream, ", ".join([*names, "x0 long, y0 long, w long, h long, area long, tint long"]))
 
 
 def debris(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:
