@@ -1,9 +1,14 @@
-"""A quality classifier learnt from preference pairs (Bradley-Terry), with a threshold at a score quantile."""
+"""A quality classifier learnt from preference pairs (Bradley-Terry), with a threshold at a score quantile.
+
+Scores are learnt from a bounded sample of labelled rows. The threshold is a quantile of the scores of all
+documents: the share that lies below is the share of label 0 to be expected among them, by the frequency of the
+labels at each score, so labels that cover some sources more than others do not move it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.chunked import slices
+from quire.llm.common import written
 
 #: Labelled rows that a fit uses at most: those with the smallest hashes of their ids.
 FIT_ROWS = 12_000
@@ -85,8 +91,8 @@ class PairwiseRanker:
 def fit_pairs(x: np.ndarray, y: np.ndarray, level: float, pairs: int = PAIRS, seed: int = 7) -> PairwiseRanker:
     """Weights that make the better text of each pair win: logistic loss on feature differences.
 
-    The threshold is the quantile of the scores at which as large a share of the fitted rows lies below
-    as are labelled 0. With labels of one kind only (or none) every text gets that label's side.
+    Its threshold is the quantile of the scores at which as large a share of the fitted rows lies below as are labelled
+    0, until at_quantile() puts it at one of all documents. With labels of one kind only (or none) every text gets that label's side.
     """
     mean, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
     scale = np.where(scale > 1e-9, scale, 1.0)
@@ -107,10 +113,43 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, level: float, pairs: int = PAIRS, se
     return PairwiseRanker(mean, scale, w, threshold, 1.0, level)
 
 
+def label_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, offset) of the chance of label 1 at a margin: a logistic curve, with a small ridge so that labels that are told apart fully have one too."""
+    scale = float(margin.std()) or 1.0
+    z = np.stack((margin / scale, np.ones(len(margin))), 1)
+    w, ridge = np.zeros(2), np.array([1e-4, 1e-9])
+    for _ in range(50):  # Newton's steps
+        p = 1 / (1 + np.exp(-(z @ w).clip(-50, 50)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(ridge), z.T @ (p - y) / len(y) + ridge * w)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0] / scale), float(w[1])
+
+
+def at_quantile(model: PairwiseRanker, x: np.ndarray, y: np.ndarray, documents: DataFrame, text: str) -> PairwiseRanker:
+    """The model with its threshold at the quantile of all documents' margins that their expected share of label 0 is. x, y: features and labels of the fitted rows."""
+    if not (y == 1).any() or not (y == 0).any():
+        return model
+
+    @F.arrow_udf("double")
+    def margin(texts: pa.Array) -> pa.Array:
+        return pa.array(model.margin(features(texts)))
+
+    slope, offset = label_curve(model.margin(x), y)
+    margins = written(documents.select(margin(F.col(text)).alias("m")), "margins")
+    low = margins.agg(F.avg(1 / (1 + F.exp(slope * F.col("m") + offset)))).first()[0]
+    if low is None:
+        return model
+    return replace(model, threshold=float(margins.agg(F.percentile_approx("m", low, 100_000)).first()[0]))
+
+
 def fit_quality(documents: DataFrame, labels: DataFrame, held_out, level: float, label: str = "quality", key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> PairwiseRanker:
     """Fit on at most fit_rows labelled rows for which the condition held_out(key column) does not hold.
 
-    Rows with a null label take no part; of a repeated label row each counts. Only features reach the driver.
+    Rows with a null label take no part; of a repeated label row each counts, and of repeated documents as well, but at
+    most fit_rows rows in all. With labels of one kind only, or none, all texts are on one side. Only features reach the
+    driver; all documents are scored once for the threshold.
     """
     known = labels.filter(F.col(label).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y"))
     some = known.orderBy(F.xxhash64("__k"), "__k", "__y").limit(fit_rows)
@@ -121,10 +160,13 @@ def fit_quality(documents: DataFrame, labels: DataFrame, held_out, level: float,
             x = features(b.column("__t"))
             yield pa.RecordBatch.from_arrays([b.column("__k"), b.column("__y"), pa.array(list(x), pa.list_(pa.float64()))], ["__k", "__y", "x"])
 
+    if rows.count() > fit_rows:
+        rows = rows.orderBy(F.xxhash64("__k", "__t"), "__k", "__y").limit(fit_rows)
     kind = documents.schema[key].dataType.simpleString()
     got = rows.mapInArrow(run, f"__k {kind}, __y int, x array<double>").toArrow().sort_by([("__k", "ascending"), ("__y", "ascending")])
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))
-    return fit_pairs(x, np.asarray(got["__y"]), level)
+    y = np.asarray(got["__y"])
+    return at_quantile(fit_pairs(x, y, level), x, y, documents, text)
 
 
 def score_quality(df: DataFrame, model: PairwiseRanker, text: str = "text", out: str = "score") -> DataFrame:

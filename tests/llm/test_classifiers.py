@@ -72,6 +72,67 @@ def test_pairs_order_texts():
 def test_swaps():
     assert toxicity.swaps("no such term") == []
     assert toxicity.swaps("A Muslim woman") == ["A christian man", "A atheist boy"]
+    own = toxicity.Lexicon({"colour": ["rot", "blau"]})
+    assert own.pairs("Ein Wort. Ganz rot! Rot\nund so") == [(" Ganz rot!", " Ganz blau!"), (" Ganz rot!", " Ganz blau!"), (" Rot", " blau"), (" Rot", " blau")]
+    assert own.pairs("Muslim") == [] == own.pairs("")
+
+
+def test_swapped_sentences_reach_the_fit(spark):
+    rows = [(i, ("vile filth. The muslim neighbour. " if i % 2 else "kind words. My old friend! ") + f"filler {i % 7}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.fit_toxicity(docs, labels, never).swapped == 120
+    assert toxicity.fit_toxicity(docs, labels, never, lexicon=toxicity.Lexicon({})).swapped == 0
+    fair, plain = (toxicity.fit_toxicity(docs, labels, never, fairness=f) for f in (100.0, 0.0))
+    moved = lambda m: np.ptp(m.scores(pa.array(["The muslim neighbour.", "The christian neighbour.", "The atheist neighbour."])))
+    assert moved(fair) < 0.5 * moved(plain)
+
+
+def test_logistic_fit_like_plain_steps():
+    rng = np.random.default_rng(3)
+    x = (rng.random((80, 12)) < 0.4) * rng.random((80, 12))
+    a, b = (rng.random((20, 12)) for _ in range(2))
+    y = (x[:, 0] + x[:, 1] - x[:, 2] + 0.2 * rng.normal(size=80) > 0.2).astype(int)
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+
+    def loss(w, c):
+        z = x @ w + c
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 1e-3 * np.abs(w).sum() + 2.0 * (((a - b) @ w) ** 2).mean()
+
+    w, c = np.zeros(12), 0.0
+    for _ in range(40_000):
+        p = weight * (1 / (1 + np.exp(-(x @ w + c))) - y)
+        g = x.T @ p + 4.0 / 20 * (a - b).T @ ((a - b) @ w)
+        w = w - 0.05 * g
+        w, c = np.sign(w) * np.maximum(np.abs(w) - 0.05 * 1e-3, 0), c - 0.05 * p.sum()
+    rows = lambda m: toxicity._Rows(*np.nonzero(m), m[np.nonzero(m)], m.shape)
+    got = toxicity.fit_logistic(rows(x), y, rows(a), rows(b), 2.0, 1e-3, steps=4000)
+    assert loss(*got) <= loss(w, c) + 1e-4
+
+
+def test_pairs_fit_like_plain_steps():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3))
+    y = (x @ np.array([1.0, -1.0, 0.3]) + rng.normal(size=60) > 0).astype(int)
+    model = quality.fit_pairs(x, y, 0.3, pairs=400)
+    z = (x - x.mean(0)) / x.std(0)
+    draw = np.random.default_rng(7)
+    d = z[draw.choice(np.flatnonzero(y == 1), 400)] - z[draw.choice(np.flatnonzero(y == 0), 400)]
+    w = np.zeros(3)
+    for _ in range(5000):
+        w = w - 0.3 * (-(d.T @ (1 / (1 + np.exp(d @ w)))) / 400 + 1e-3 * w)
+    assert np.abs(model.weights - w).max() < 1e-4
+
+
+def test_threshold_follows_all_documents(spark):
+    # Half of the labels say 0, but only a tenth of the documents are of that kind.
+    texts = ["Plain words stand here, one by one. Nothing else."] * 90 + ["!!! ### BUY NOW $$$ !!!"] * 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(10)] + [(i, 0) for i in range(90, 100)], "doc_id long, quality int")
+    got = {r.doc_id: r.score >= 0.3 for r in quality.score_quality(docs, quality.fit_quality(docs, labels, never, level=0.3)).collect()}
+    assert sum(got.values()) in (90, 100) and all(got[i] for i in range(90))
+    curve = quality.label_curve(np.array([0.0, 1.0, 2.0, 3.0] * 50), np.array([0, 0, 1, 1] * 50))
+    assert abs(1 / (1 + np.exp(-(curve[0] * 1.5 + curve[1]))) - 0.5) < 0.05
 
 
 def test_counterfactual_term_lowers_false_positives():
