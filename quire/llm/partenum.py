@@ -13,8 +13,8 @@ domain (over a fifth, so that it can tell), counted over all texts, with a Bloom
 shingles that may pass more sets but never fewer.
 
 Candidates: a signature's sets are compared with its smallest and largest member first; components of
-what links so far; then, for each signature of several components, the members outside its largest one
-are compared with that and with each other, in blocks. So no link between components is lost, and a large
+what links so far; then, for each signature of several components, its members outside the largest one
+are compared with its other members, by size band and in blocks. So no link between components is lost, and a large
 group of near copies does not become rows of pairs.
 """
 
@@ -25,14 +25,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bloom import Bloom, bloom, without
 from quire.llm.chunked import slices
-from quire.llm.common import again, discard, lookup_join, numbered, written
+from quire.llm.common import again, discard, drop, lookup_join, numbered, written
 
 WORDS = 5
+#: Bytes of texts, and of a long text, that are hashed at once; arrays of sixteen words for each byte are held meanwhile.
+SLICE, STRETCH = 512 << 10, 1 << 20
 #: The share of the domain looked at for the first sieve; it must be over 1 - similarity.
 SIEVE = 0.28
 #: Pairs that one copy of a hub's set is compared with, about.
@@ -96,9 +99,43 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return doc[keep], _mix(total + size)[keep]
 
 
+def _stretches(text: bytes, words: int = WORDS) -> Iterator[bytes]:
+    """A long text in stretches of about STRETCH bytes, or a longer word, which hold all its shingles: each goes on for words - 1 words of the next."""
+    data = np.frombuffer(text, np.uint8)
+    white = (data == 32) | ((data >= 9) & (data <= 13))
+    starts = np.flatnonzero(~white & np.concatenate(([True], white[:-1])))
+    del white
+    if len(starts) <= 2 * words:
+        yield text
+        return
+    at = 0
+    while at < len(starts):
+        to = max(at + words, int(np.searchsorted(starts, starts[at] + STRETCH)))
+        if to + words > len(starts):
+            to = len(starts)
+        last = to + words - 1
+        yield text[starts[at] : starts[last] if last < len(starts) else len(text)]
+        at = to
+
+
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By slices: (offsets of the documents, their distinct shingles in ascending order)."""
-    for part in slices(texts):
+    """By slices: (offsets of the documents, their distinct shingles in ascending order). A text of over 2 * STRETCH bytes is a slice of its own, hashed in stretches."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    long = np.flatnonzero(np.asarray(pc.binary_length(texts)) > 2 * STRETCH).tolist()
+    for a, b in zip([-1, *long], [*long, len(texts)], strict=True):
+        if a >= 0:
+            h = np.zeros(0, _U)
+            for stretch in _stretches(texts[a].as_buffer().to_pybytes()):
+                # A stretch is no text of its own: its bytes may be of any kind, and its first and last words are whole.
+                part = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(stretch)], np.int64)), pa.py_buffer(stretch)])
+                h = np.union1d(h, shingles(part)[1])
+            yield np.array([0, len(h)]), h
+        if b > a + 1:
+            yield from _short_sets(texts.slice(a + 1, b - a - 1))
+
+
+def _short_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for part in slices(texts, SLICE):
         doc, h = shingles(part)
         order = np.lexsort((h, doc))
         doc, h = doc[order], h[order]
@@ -124,7 +161,9 @@ def _repeated(texts: DataFrame) -> Bloom:
     # A batch gives a shingle once, so no key has many rows; dealt out first, else each task would also keep all of its own in a hash table.
     met = texts.mapInArrow(run, "h long, n byte").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     met = written(met, "repeated")
-    return bloom(met, "h", met.count())
+    found = bloom(met, "h", met.count())
+    discard(met)
+    return found
 
 
 def _sets(df: DataFrame, repeated: Bloom, percent: int) -> DataFrame:
@@ -248,21 +287,26 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.join(copies.hint("shuffle_merge"), ["a", "salt"]).filter(similar("sa", "sb")).select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, component (the smallest id) of every end of links (a, b), by alternating large and small stars; each round is written out."""
+def components(links: DataFrame) -> DataFrame:
+    """id, component (the smallest id) of every end of links (a, b), by alternating large and small stars until nothing changes; each round is written out.
+
+    The number of rounds grows with the logarithm of the longest chain.
+    """
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours of a vertex point to its smallest neighbour or itself
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("w"))
-        large = lookup_join(both, written(least, "least"), "a", "w", "inner").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("w")), "least")
+        large = lookup_join(both, least, "a", "w", "inner").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
         # small star: smaller neighbours of a vertex, and itself, point to the smallest of them
         down = written(large, "large")
-        root = down.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("w"))
-        small = lookup_join(down, written(root, "root"), "b", "w", "inner")
+        root = written(down.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("w")), "root")
+        small = lookup_join(down, root, "b", "w", "inner")
         small = small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
-        edges = written(small, "edges")
+        after = written(small, "edges")
+        drop(edges, least, down, root)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -275,16 +319,26 @@ def near_duplicates(df: DataFrame, percent: int = 80, text: str = "text", key: s
 
     Two texts link where 100 * |A and B| >= percent * |A or B| for their sets of 5-word shingles; percent
     is from 75 to 100. Null and wordless texts have empty sets and link with nothing. Rows that repeat a
-    key count as different texts of the same name. Keys must not be null. An empty table gives no rows.
-    Shingles are compared by 64-bit hashes. df is read twice.
+    key count as different texts of the same name. Rows without a key link like any other, but their component is
+    null where no text with a key is linked with them. An empty table gives no rows. Shingles are compared by
+    64-bit hashes. df is read twice.
     """
     if not 100 * (1 - SIEVE) < percent <= 100:
         raise ValueError("percent is out of range")
+    if df.filter(F.col(key).isNull()).head(1):
+        rows = numbered(df.select(F.col(key).alias("__key"), F.col(text).alias("text")), "__key", "text")
+        own = near_duplicates(rows, percent, "text", "__row")
+        # Numbers go up with the keys and nulls come last, so a component's first number belongs to its smallest key.
+        names = rows.select(F.col("__row").alias("component_id"), F.col("__key").alias("__name"))
+        own = own.join(rows.select("__row", "__key"), "__row").join(names, "component_id", "left")
+        return own.select(F.col("__key").alias(key), "n_shingles", F.col("__name").alias("component_id"))
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     sets = written(_sets(docs, _repeated(docs.select("text")), percent), "sets")
     groups = written(sets.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "set-groups")
     first = groups.select(F.col("rep").alias("id"), "digest")
     reps = written(sets.join(first, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "n_shingles", "shingles"), "reps")
+    whole, sets = sets, written(sets.select("id", "n_shingles", "digest"), "set-sizes")
+    discard(whole)
     signed = written(_signed(reps, percent), "signatures")
     buckets = written(signed.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("w")).filter("lo != hi"), "buckets")
     met = written(lookup_join(signed, buckets, "sig", "w", "inner"), "met")
@@ -302,11 +356,10 @@ def near_duplicates(df: DataFrame, percent: int = 80, text: str = "text", key: s
     mixed = written(mixed.select("sig", "k", "w"), "mixed")
     largest = lookup_join(parts.withColumnRenamed("k", "own"), mixed.drop("w"), "sig", "k", "inner", weighted=True).filter("own = k")
     top = written(largest.groupBy("sig").agg(F.max("c").alias("top")).join(mixed.select("sig", "w"), "sig"), "top")
-    odd = lookup_join(placed, top, "sig", "w", "inner").filter("c != top").select("top", "id", "c").distinct()
-    odd = written(odd, "odd")
+    sides = written(lookup_join(placed, top, "sig", "w", "inner").select("top", "id", "c").distinct(), "sides")
     discard(placed, mixed, top)
-    if odd.head(1):
-        extra = written(_compared(odd, found, reps, percent), "more-links")
+    if sides.head(1):
+        extra = written(_compared(sides, reps, percent), "more-links")
         if extra.head(1):
             found = written(components(links.unionByName(extra)), "components")
 
@@ -315,41 +368,55 @@ def near_duplicates(df: DataFrame, percent: int = 80, text: str = "text", key: s
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _compared(odd: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links between odd members (top, id, c) and the members of their top component, or each other; one for each member and component.
+def _bands(n: Column, percent: int) -> Column:
+    """The band of a size, as a column."""
+    edges = [int(e) for e in _edges(percent)]
+    return F.aggregate(F.array(*(F.lit(e) for e in edges)), F.lit(-1), lambda j, e: j + (n >= e).cast("int"))
+
+
+def _compared(sides: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links of sets that share a signature of several components: (top, id, c), top being the signature's largest component and c the set's own.
 
-    The two sides of a top component meet in blocks of about BLOCK sets, so no task has a whole one and no
-    pair becomes a row.
+    The members of other components (odd ones) are compared with all; one link for each member and component. Only sets
+    of one band or of neighbouring ones meet, in blocks of about BLOCK sets, so no task has a whole component and no
+    pair becomes a row. In a block, a set is compared with those that it shares shingles with.
     """
-    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
-    many = odd.groupBy("top").agg(F.count("*").alias("x")).join(sizes.withColumnRenamed("component", "top"), "top", "left")
-    many = written(many.select("top", (F.col("x") / BLOCK).cast("int").alias("xs"), ((F.col("x") + F.coalesce("n", F.lit(1))) / BLOCK).cast("int").alias("ys"), (F.col("x") + F.coalesce("n", F.lit(1))).alias("w")), "blocks")
-    members = found.select(F.col("component").alias("top"), "id", F.col("component").alias("c")).join(many.select("top"), "top", "left_semi")
-    alone = many.select("top").join(found.select(F.col("component").alias("top")).distinct(), "top", "left_anti").select("top", F.col("top").alias("id"), F.col("top").alias("c"))
-    all_ = written(odd.unionByName(members).unionByName(alone), "sides")
+    banded = sides.join(reps.select("id", _bands(F.floor(F.octet_length("shingles") / 8), percent).alias("band")), "id")
+    xs_ = banded.filter("c != top").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    xs_ = written(xs_.select("top", "id", "c", "band"), "odd-sides")
+    ys_ = written(banded.join(xs_.select("top", "band").distinct(), ["top", "band"], "left_semi").select("top", "id", "c", "band"), "all-sides")
+    nx = xs_.groupBy("top", "band").agg(F.count("*").alias("x"))
+    ny = ys_.groupBy("top", "band").agg(F.count("*").alias("y"))
+    many = nx.join(ny, ["top", "band"]).select(F.struct("top", "band").alias("g"), (F.col("x") / BLOCK).cast("int").alias("xs"), (F.col("y") / BLOCK).cast("int").alias("ys"), (F.col("x") + F.col("y")).alias("w"))
+    many = written(many, "blocks")
 
     def side(df: DataFrame, own: str, other: str, name: str, far: str) -> DataFrame:
         body = again(reps).select("id", "shingles")
-        met = lookup_join(again(df), again(many), "top", "w", "inner").withColumn(name, F.pmod(F.xxhash64("id"), F.col(own) + 1).cast("int"))
-        return met.withColumn(far, F.explode(F.sequence(F.lit(0), F.col(other)))).select("top", "xb", "yb", "id", "c").join(body, "id").groupBy("top", "xb", "yb")
+        grouped = again(df).select(F.struct("top", "band").alias("g"), "id", "c")
+        met = lookup_join(grouped, again(many), "g", "w", "inner").withColumn(name, F.pmod(F.xxhash64("id"), F.col(own) + 1).cast("int"))
+        return met.withColumn(far, F.explode(F.sequence(F.lit(0), F.col(other)))).select("g", "xb", "yb", "id", "c").join(body, "id").groupBy("g", "xb", "yb")
 
     def compare(xs: pa.Table, ys: pa.Table) -> pa.Table:
         kind = xs.schema.field("id").type if len(xs) else ys.schema.field("id").type
         a, b = [], []
         if len(xs) and len(ys):
             sets = [np.frombuffer(y, _U) for y in ys["shingles"].to_pylist()]
-            flat, lengths = np.concatenate(sets), np.array([len(y) for y in sets])
-            begin = np.cumsum(lengths) - lengths
-            words, code = np.unique(flat, return_inverse=True)
+            lengths = np.array([len(y) for y in sets])
+            words, code = np.unique(np.concatenate(sets), return_inverse=True)
+            # Which sets hold each shingle: those of shingle w stand in owner[first[w] : first[w + 1]].
+            by = np.argsort(code, kind="stable")
+            owner = np.repeat(np.arange(len(sets)), lengths)[by]
+            first = np.searchsorted(code[by], np.arange(len(words) + 1))
             ids, homes = ys["id"].to_pylist(), ys["c"].to_pylist()
             for x, i, c in zip(xs["shingles"].to_pylist(), xs["id"].to_pylist(), xs["c"].to_pylist(), strict=True):
                 own = np.frombuffer(x, _U)
                 at = np.minimum(np.searchsorted(words, own), len(words) - 1)
-                held = np.zeros(len(words), np.int32)
-                held[at[words[at] == own]] = 1
-                same = np.add.reduceat(held[code], begin)
+                at = at[words[at] == own]
+                n = first[at + 1] - first[at]
+                held = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                same = np.bincount(owner[held], minlength=len(sets))
                 seen = set()
-                for j in np.flatnonzero(100 * same >= percent * (len(own) + lengths - same)).tolist():
+                for j in np.flatnonzero((same > 0) & (100 * same >= percent * (len(own) + lengths - same))).tolist():
                     if homes[j] != c and homes[j] not in seen:
                         seen.add(homes[j])
                         a.append(i)
@@ -357,7 +424,7 @@ def _compared(odd: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -
         return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
     kind = reps.schema["id"].dataType.simpleString()
-    return side(odd, "xs", "ys", "xb", "yb").cogroup(side(all_, "ys", "xs", "yb", "xb")).applyInArrow(compare, f"a {kind}, b {kind}")
+    return side(xs_, "xs", "ys", "xb", "yb").cogroup(side(ys_, "ys", "xs", "yb", "xb")).applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_dedup(df: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:

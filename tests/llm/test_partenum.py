@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from quire.llm import partenum, queries
 
 
@@ -95,6 +96,16 @@ def test_shingles_count():
     assert np.concatenate(found).tolist() == [len(sets_of(t)) for t in texts]
 
 
+@pytest.mark.parametrize("stretch", [20, 57, 300])
+def test_long_texts_in_stretches(monkeypatch, stretch):
+    rng = random.Random(stretch)
+    texts = [" ".join(rng.choice(["a", "é", "long" * 30, "Bc"]) + rng.choice(["", " ", "\t"]) for _ in range(n)) for n in [0, 3, 11, 12, 13, 200, 5, 999]] + [None, "x" * 5000, " " * 900, " y" * 6 + " " * 700]
+    whole = [h[a:z].tolist() for upto, h in partenum.shingle_sets(pa.array(texts)) for a, z in zip(upto, upto[1:], strict=False)]
+    monkeypatch.setattr(partenum, "STRETCH", stretch)
+    cut = [h[a:z].tolist() for upto, h in partenum.shingle_sets(pa.array(texts)) for a, z in zip(upto, upto[1:], strict=False)]
+    assert cut == whole and [len(x) for x in whole] == [len(sets_of(t)) for t in texts]
+
+
 def test_chain_and_large_group(spark):
     base = [f"v{i}" for i in range(100)]
     rows = []
@@ -109,6 +120,29 @@ def test_chain_and_large_group(spark):
     assert sorted(map(tuple, partenum.near_duplicates(df).collect())) == brute(rows)
 
 
+def test_components_of_a_long_chain(spark):
+    n = 1 << 12
+    names = list(range(n))
+    random.Random(9).shuffle(names)
+    links = spark.createDataFrame([(names[i], names[i + 1]) for i in range(n - 1)] + [(10_000, 10_001)], "a long, b long").repartition(4)
+    got = {r.id: r.component for r in partenum.components(links).collect()}
+    assert got == {i: 0 for i in names} | {10_000: 10_000, 10_001: 10_000}
+
+
+def test_null_keys(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text), (7, text), (3, "x " + text * 9), (None, "x " + text * 9), (None, "all by itself and long enough"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in partenum.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 7), (7, 7), (3, 3), (None, 3), (None, None), (5, 5)], key=str)
+
+
+def test_bands_as_a_column(spark):
+    sizes = [1, 2, 3, 4, 5, 6, 7, 99, 100, 1000, 123_456]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long").select(partenum._bands(F.col("n"), 80).alias("b"))
+    assert [r.b for r in df.collect()] == [partenum.band_of(n, 80) for n in sizes]
+
+
 def test_empty_and_kept(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert partenum.near_duplicates(df).count() == 0
