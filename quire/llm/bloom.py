@@ -60,10 +60,20 @@ def bloom(keys: DataFrame, hashed: str, count: int) -> Bloom:
     return Bloom(out)
 
 
+#: Keys of at most so many bytes, with 32 more for each, are broadcast to be left out.
+SMALL_BYTES = 8 << 20
+
+
 def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """df's rows whose key is not in dropped (one column of that name). Only rows that may be dropped are shuffled."""
+    """df's rows whose key is not in dropped (one column of that name); rows without a key stay.
+
+    Few keys are broadcast, after their size is checked; with more, only rows that may be dropped are shuffled.
+    """
+    count, size = dropped.agg(F.count("*"), F.sum(F.octet_length(F.col(key).cast("string")))).first()
+    if 32 * count + (size or 0) <= SMALL_BYTES:
+        return df.join(F.broadcast(dropped), key, "left_anti").select(df.columns)
     hashed = dropped.select(F.xxhash64(key).alias("__h"))
-    some = bloom(hashed, "__h", dropped.count())
+    some = bloom(hashed, "__h", count)
     flagged = df.withColumn("__maybe", some.holds(F.xxhash64(key)))
     clear = flagged.filter(~F.col("__maybe")).drop("__maybe")
     return clear.unionByName(flagged.filter("__maybe").drop("__maybe").join(dropped, key, "left_anti"))

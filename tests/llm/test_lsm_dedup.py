@@ -2,7 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from quire.llm import lsm_dedup
+from quire.llm import bloom, lsm_dedup
 from pyspark.sql import functions as F
 
 ROWS = [(i, t) for i, t in enumerate([None, "", "a", "a", "A", "b" * 90_000, "b" * 90_000, " a", "c", "é", "é", None] + ["hot"] * 500 + [f"t{i % 40}" for i in range(200)])]
@@ -72,6 +72,15 @@ def test_batches_against_a_stored_level(spark, monkeypatch, block):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("small", [0, 8 << 20])
+def test_rows_left_out_by_either_join(spark, monkeypatch, small):
+    monkeypatch.setattr(bloom, "SMALL_BYTES", small)
+    df = spark.createDataFrame([("x", 1), ("y", 2), ("z", None), ("w", 2), ("v", 3)], "text string, doc_id long")
+    for gone, left in (([1, 2], "vz"), ([], "vwxyz"), ([7], "vwxyz")):
+        got = bloom.without(df, spark.createDataFrame([(i,) for i in gone], "doc_id long"), "doc_id")
+        assert got.columns == df.columns and sorted(r.text for r in got.collect()) == sorted(left)
+
+
 def test_repeated_rows_empty_and_kept(spark):
     rows = [(1, "x"), (1, "x"), (2, "y"), (None, "z")]
     got = lsm_dedup.exact_groups(frame(spark, rows), "max").collect()
