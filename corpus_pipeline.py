@@ -14,15 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import lsm_dedup, packing, partenum, rindex, toxicity
-from quire.llm.common import ready, written
+from quire.llm.common import give_back, ready, written
 
 TOXIC = 0.7
 SEQUENCE = 2048
 
 
+def _begin(spark: SparkSession) -> None:
+    """ready(), and without the heap that executors have left from the stage before."""
+    ready(spark)
+    give_back(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; fitted on the labels that op6 learns from, as far as their documents are here."""
-    ready(spark)
+    _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_toxicity(docs, labels, lambda key: F.crc32(key.cast("string")) % 3 == 1)
     score = "score"
@@ -33,25 +39,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest doc_id."""
-    ready(spark)
+    _begin(spark)
     return lsm_dedup.exact_dedup(docs, keep="max")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest doc_id."""
-    ready(spark)
+    _begin(spark)
     return partenum.near_dedup(docs)
 
 
 def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of 200-byte strings that stand elsewhere too."""
-    ready(spark)
+    _begin(spark)
     return rindex.strip_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences."""
-    ready(spark)
+    _begin(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.tables import close, delete, staged
 
-__all__ = ["again", "close", "discard", "drop", "lookup_join", "numbered", "ready", "written"]
+__all__ = ["again", "close", "discard", "drop", "give_back", "lookup_join", "numbered", "ready", "written"]
 
 
 #: What Python workers are started with: freed memory goes back to the machine, as idle workers stay and share an executor's memory with busy ones.
@@ -39,11 +39,24 @@ def drop(*tables: DataFrame) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """As drop(), and let Spark remove the shuffle files of finished jobs."""
+    """As drop(), let Spark remove the shuffle files of finished jobs, and give_back()."""
     drop(*tables)
     spark = tables[0].sparkSession
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    give_back(spark)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Let executors return the heap that is not in use to the machine, between two large steps.
+
+    A heap that grew in one step keeps its size, up to all it may have, while Python workers beside it need memory in the
+    next one. Only a full collection is sure to shrink it; one task for each core asks for that, so each executor gets some.
+    """
+    if spark.sparkContext.master.startswith("local["):  # the driver, which discard() has collected
+        return
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
 
 
 def numbered(df: DataFrame, key: str, text: str, nulls_first: bool = False) -> DataFrame | None:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.bloom import Bloom, bloom, without
 from quire.llm.chunked import slices
-from quire.llm.common import again, discard, drop, lookup_join, numbered, written
+from quire.llm.common import again, discard, drop, give_back, lookup_join, numbered, written
 
 WORDS = 5
 #: Bytes of texts, and of a long text, that are hashed at once; arrays of sixteen words for each byte are held meanwhile.
@@ -346,6 +346,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, text: str = "text", key: s
     hubs = met.select("id", F.explode(F.array("lo", "hi")).alias("hub")).filter("hub != id")
     pairs = written(hubs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = written(_linked(pairs, reps, percent), "links")
+    give_back(df.sparkSession)
     found = written(components(links), "components")
 
     # What shares a signature but not a component yet: per signature all but its largest component, against that and each other.
@@ -436,4 +437,5 @@ def near_dedup(df: DataFrame, percent: int = 80, text: str = "text", key: str =
     if rows is not None:
         return near_dedup(rows, percent, text, "__row").drop("__row")
     dropped = written(near_duplicates(df, percent, text, key).filter(F.col(key) != F.col("component_id")).select(key), "dropped")
+    give_back(df.sparkSession)
     return without(df, dropped, key)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.bloom import Bloom, bloom
 from quire.llm.chunked import slices
-from quire.llm.common import discard, lookup_join, written
+from quire.llm.common import discard, give_back, lookup_join, written
 from quire.llm.partenum import _mix, _stream
 
 GRAM = 40
@@ -500,6 +500,7 @@ def repeated_spans(df: DataFrame, length: int = 200, text: str = "text", key: st
     # Their texts are read again: a third pass, instead of keeping the texts of all segments.
     texts = _segments(docs, length, repeated, common, bloom(todo, "d", todo.count())).groupBy("h", "digest", "body").agg(F.count("*").alias("w"))
     texts = written(lookup_join(written(texts, "texts"), per, "h", "k", "inner"), "texts-to-index")
+    give_back(df.sparkSession)
     small = texts.filter(F.col("bytes") <= KEY_BYTES).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     found = small.select("shard", "digest", "body").groupBy("shard").applyInArrow(lambda t: _by_index(t, length), "digest binary, hits array<int>")
     if per.filter(F.col("bytes") > KEY_BYTES).head(1):
@@ -527,6 +528,7 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
 def _cut(df: DataFrame, length: int, text: str, key: str) -> DataFrame:
     """df with __kept (binary), __removed (array of [from, to) byte ranges, merged)."""
     spans = written(repeated_spans(df, length, text, key), "spans")
+    give_back(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     source = df.withColumn("__id", F.col(key)).withColumn("__fp", F.xxhash64(body))
     some = bloom(spans.select(F.xxhash64("id", "fp").alias("h")), "h", spans.count())
